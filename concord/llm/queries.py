@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import mixing, sentencepiece_codec, simhash, substring_dedup
-from concord.llm.common import table
+from concord.llm import language_id, mixing, sentencepiece_codec, sharding, simhash, substring_dedup
+from concord.llm.common import table, training_part
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -15,6 +15,17 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents")).drop("group")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = training_part("doc_id", 4) == 2
+    model = language_id.fit(docs, ~held_out)
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -32,6 +43,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_language_id": op2_language_id,
     "op3_simhash": op3_simhash,
     "op5_sentencepiece": op5_sentencepiece,
     "op8_mixing": op8_mixing,
