@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import language_id, mixing, sentencepiece_codec, sharding, simhash, substring_dedup
+from concord.llm import ann, ball_tree, language_id, mixing, sentencepiece_codec, sharding, simhash, substring_dedup
 from concord.llm.common import table, training_part
 
 
@@ -30,6 +30,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_output=False)
 
@@ -38,6 +42,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -46,8 +54,10 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
     "op3_simhash": op3_simhash,
+    "op4_ann": op4_ann,
     "op5_sentencepiece": op5_sentencepiece,
     "op8_mixing": op8_mixing,
+    "op9_top_k": op9_top_k,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
