@@ -254,6 +254,9 @@ def training_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
             w = pick(*WORDS[pick(*kinds)].split())
             return f'{pick("class", "class", "id")}="{pick("", "site-", "page-", "x-", "js-")}{w}{pick("", "-box", "-wrap", "_1", " clearfix", "-inner")}"'
 
+        def named(tag, kind):
+            return tag, name(kind) if tag in ("div", "section") or chance(0.5) else ""
+
         def links(label, lo=2, hi=8):
             def items():
                 for _ in range(int(rng.integers(lo, hi + 1))):
@@ -276,11 +279,14 @@ def training_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
             if kind == "nav":
                 el(pick("nav", "div", "nav"), b, lambda: links(b), name("nav")) if chance(0.7) else el("nav", b, lambda: links(b))
             elif kind == "header":
-                el(pick("header", "header", "div"), b, lambda: (el(pick("h1", "div", "p"), b, words(1, 5)), chance(0.5) and links(b)), name("head"))
+                own = named(pick("header", "header", "div"), "head")
+                el(own[0], b, lambda: (el(pick("h1", "div", "p"), b, words(1, 5)), chance(0.5) and links(b)), own[1])
             elif kind == "footer":
-                el("footer", b, f"&copy; {words(1, 4)} &middot; {sentence(2, 10)}") if chance(0.5) else el(pick("footer", "div"), b, lambda: (paras(b, 0, 2, False), chance(0.5) and links(b)), name("foot"))
+                own = named(pick("footer", "footer", "div"), "foot")
+                el("footer", b, f"&copy; {words(1, 4)} &middot; {sentence(2, 10)}") if chance(0.5) else el(own[0], b, lambda: (paras(b, 0, 2, False), chance(0.5) and links(b)), own[1])
             elif kind in ("aside", "related"):
-                el(pick("aside", "div", "section"), b, lambda: (chance(0.6) and el(pick("h2", "h3", "h4"), b, words(1, 4)), paras(b, 0, 3), chance(0.6) and links(b)), name("side"))
+                own = named(pick("aside", "aside", "div", "section"), "side")
+                el(own[0], b, lambda: (chance(0.6) and el(pick("h2", "h3", "h4"), b, words(1, 4)), paras(b, 0, 3), chance(0.6) and links(b)), own[1])
             elif kind == "ad":
                 el(pick("div", "div", "aside", "section"), b, sentence(2, 25) if chance(0.6) else lambda: paras(b, 1, 2), name("ad"))
             elif kind == "notice":

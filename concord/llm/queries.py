@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import ann, ball_tree, language_id, mixing, sentencepiece_codec, sharding, simhash, substring_dedup
+from concord.llm import ann, attention_lm, ball_tree, html_text, language_id, mixing, sentencepiece_codec, sharding, simhash, substring_dedup
 from concord.llm.common import table, training_part
 
 
@@ -38,6 +38,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_output=False)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score(table(spark, sf_dir, "documents"), training_part("doc_id", 5) != 1, tokenizer_path())
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,6 +64,8 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_ann": op4_ann,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_html_text": op7_html_text,
     "op8_mixing": op8_mixing,
     "op9_top_k": op9_top_k,
     "op10_substring_dedup": op10_substring_dedup,
