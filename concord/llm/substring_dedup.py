@@ -72,7 +72,7 @@ def _window_runs(window: int):
         for batch in batches:
             texts = texts_of(batch.column("text"))
             ids, keys = np.asarray(batch.column("doc_id")), np.asarray(batch.column("text_key"))
-            for lo, hi in slices(texts, 24 << 20):
+            for lo, hi in slices(texts, 8 << 20):
                 words = []
                 doc, length = [], []
                 for i in range(lo, hi):
