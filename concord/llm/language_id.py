@@ -2,7 +2,7 @@
 
 A word's subwords are its character n-grams with word ends marked, hashed into a table of
 embeddings; a text's vector is their average, and a softmax over it gives the languages.
-Embeddings and softmax are trained together by stochastic gradient descent in numpy, on the
+Embeddings and softmax are trained together by stochastic gradient descent (Adagrad steps) in numpy, on the
 driver, from a bounded sample of labelled rows. A temperature fitted on rows set aside makes
 the probabilities calibrated, and a prediction whose probability is below ``reject_below`` is
 rejected. As everything before the softmax is linear, each distinct word has one vector of
@@ -42,19 +42,28 @@ class Settings:
     grams: tuple[int, int] = (1, 4)
     epochs: int = 4
     batch: int = 16
-    rate: float = 8.0
+    rate: float = 0.05
     seed: int = 2
     reject_below: float = 0.4
-    table_words: int = 150_000
+    table_words: int = 300_000
 
 
-def subwords(word: bytes, grams: tuple[int, int], buckets: int) -> list[int]:
-    """Hash buckets of the n-grams of a word with its ends marked."""
-    import xxhash
-
-    w = f"<{word.decode('utf-8', 'replace').lower()}>"
+def subwords(words: list[bytes], grams: tuple[int, int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets (one row a length, a column a byte; -1: none begins there) of the n-grams of words with their ends marked, and the columns where words begin."""
+    joined = np.frombuffer(b"".join(b"<%b>" % w for w in words).lower(), np.uint8).astype(np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    begin = np.cumsum(sizes) - sizes
+    left = np.repeat(begin + sizes, sizes) - np.arange(len(joined))
     lo, hi = grams
-    return [xxhash.xxh32_intdigest(w[i : i + n]) % buckets for n in range(lo, hi + 1) for i in range(len(w) - n + 1)]
+    out = np.full((hi - lo + 1, len(joined)), -1, np.int64)
+    h = np.zeros(len(joined), np.uint32)
+    for n in range(1, hi + 1):
+        h[: len(h) - n + 1] = h[: len(h) - n + 1] * np.uint32(0x01000193) + joined[n - 1 :] + np.uint32(1)
+        if n >= lo:
+            x = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + np.uint32(n)
+            x ^= x >> np.uint32(13)
+            out[n - lo] = np.where(left >= n, (x % np.uint32(buckets)).astype(np.int64), -1)
+    return out, begin
 
 
 @dataclass
@@ -80,20 +89,17 @@ def train(texts: list[bytes], labels: list[str], settings: Settings) -> Model |
         return None
     rng = np.random.default_rng(settings.seed)
     y = np.array([langs.index(x) for x in labels])
-    known: dict[bytes, list[int]] = {}
     bags = []
     for t in texts:
-        counts = np.zeros(settings.buckets, np.float32)
-        for w in t.split():
-            if w not in known:
-                known[w] = subwords(w, settings.grams, settings.buckets)
-            np.add.at(counts, known[w], 1) if len(known[w]) > 64 else [counts.__setitem__(b, counts[b] + 1) for b in known[w]]
+        found = subwords(t.split(), settings.grams, settings.buckets)[0]
+        counts = np.bincount(found[found >= 0], minlength=settings.buckets).astype(np.float32)
         used = np.flatnonzero(counts)
         bags.append((used, counts[used] / max(1.0, counts.sum())))
     fit = max(1, len(bags) * 4 // 5)
     emb = rng.normal(0, 0.1, (settings.buckets, settings.dim)).astype(np.float32)
     out = np.zeros((settings.dim, len(langs)), np.float32)
     bias = np.zeros(len(langs), np.float32)
+    square, emb_square = {}, np.zeros_like(emb)
     steps, done = settings.epochs * -(-fit // settings.batch), 0
     for _ in range(settings.epochs):
         order = rng.permutation(fit)
@@ -108,10 +114,14 @@ def train(texts: list[bytes], labels: list[str], settings: Settings) -> Model |
             p[np.arange(len(rows)), y[rows]] -= 1
             p /= len(rows)
             back = p @ out.T
-            out -= rate * (x.T @ p)
-            bias -= 0.1 * rate * p.sum(axis=0)
+            for x_, g in ((out, x.T @ p), (bias, p.sum(axis=0))):
+                square[id(x_)] = square.get(id(x_), 0) + g * g
+                x_ -= rate * g / (np.sqrt(square[id(x_)]) + 1e-6)
             for g, i in zip(back, rows, strict=True):
-                emb[bags[i][0]] -= rate * len(bags[i][0]) ** 0.5 * bags[i][1][:, None] * g
+                used, weight = bags[i]
+                step = weight[:, None] * g
+                emb_square[used] += step * step
+                emb[used] -= rate * step / (np.sqrt(emb_square[used]) + 1e-6)
     model = Model(langs, emb @ out, bias, 1.0, settings)
     held = range(fit, len(bags)) if fit < len(bags) else range(len(bags))
     logits = np.stack([bags[i][1] @ model.scores[bags[i][0]] + bias for i in held])
@@ -121,7 +131,7 @@ def train(texts: list[bytes], labels: list[str], settings: Settings) -> Model |
         model.temperature = t
         return -np.log(model.probabilities(logits)[np.arange(len(truth)), truth] + 1e-12).mean()
 
-    model.temperature = min(np.geomspace(0.25, 4.0, 33), key=loss)
+    model.temperature = min(np.geomspace(0.1, 4.0, 33), key=loss)
     return model
 
 
@@ -135,41 +145,43 @@ def fit(docs: DataFrame, where: Column, settings: Settings = Settings(), id_col:
 
 
 class WordScores:
-    """Distinct words with the sum of their subwords' scores; emptied when full."""
+    """Distinct words with the sum and number of their subwords' scores; emptied before a slice when it holds more than ``table_words``."""
 
     def __init__(self, model: Model):
-        self.model, self.limit = model, model.settings.table_words
+        self.model = model
+        self.padded = np.zeros((len(model.scores) + 1, len(model.langs) + 1), np.float32)  # -1: no subword
+        self.padded[:-1, :-1], self.padded[:-1, -1] = model.scores, 1
         self.clear()
 
     def clear(self) -> None:
         self.row: dict[bytes, int] = {}
-        self.values = np.zeros((self.limit + 1, len(self.model.langs) + 1), np.float32)
+        self.values = np.zeros((0, len(self.model.langs) + 1), np.float32)
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         """Scores and number of subwords of each word."""
+        s = self.model.settings
+        if len(self.row) > s.table_words:
+            self.clear()
         get = self.row.get
-        at = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
-        if not len(missing):
-            return self.values[at]
-        new = list(dict.fromkeys(words[i] for i in missing))
-        if len(self.row) + len(new) > self.limit:
-            self.clear()
-            new = list(dict.fromkeys(words))
-            missing = np.arange(len(words))
-        s = self.model.settings
-        parts = [subwords(w, s.grams, s.buckets) for w in new]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter((b for p in parts for b in p), np.int64, int(counts.sum()))
-        values = np.concatenate([segment_sums(self.model.scores[flat], counts), counts[:, None]], axis=1)
-        if len(new) > self.limit:  # more distinct words in a slice than the table holds
-            own = {w: i for i, w in enumerate(new)}
-            return values[[own[w] for w in words]]
-        base = len(self.row)
-        self.values[base : base + len(new)] = values
-        for i, w in enumerate(new):
-            self.row[w] = base + i
-        at[missing] = [self.row[words[i]] for i in missing]
+        if len(missing):
+            new = list(dict.fromkeys(words[i] for i in missing))
+            parts, lo = [self.values], 0
+            while lo < len(new):
+                hi, size = lo, 0
+                while hi < len(new) and (hi == lo or size + len(new[hi]) < 200_000):
+                    size += len(new[hi])
+                    hi += 1
+                found, begin = subwords(new[lo:hi], s.grams, s.buckets)
+                total = self.padded[found[0]]
+                for own in found[1:]:
+                    total += self.padded[own]
+                parts.append(np.add.reduceat(total, begin, axis=0))
+                lo = hi
+            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
+            self.values = np.concatenate(parts)
+            at[missing] = [self.row[words[i]] for i in missing]
         return self.values[at]
 
 
