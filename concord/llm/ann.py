@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import ship, written
+from concord.llm.common import bounded_sample, ship, written
 from concord.llm.vectors import HITS, candidates, in_blocks, matrix, ranked, valid
 
 ship(__name__)
@@ -183,7 +183,7 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, settings: Settings = S
     """query_id, rank, vec_id, score (double): each query's k nearest found; queries are the rows whose id ``every`` divides."""
     base = written(valid(rows, id_col, vec_col, False), "vectors")
     count = base.count()
-    sample = base.orderBy(F.xxhash64(F.lit(settings.seed), F.col("vec_id")), "vec_id").limit(settings.sample_rows).select("v").collect()
+    sample = bounded_sample(base, [F.lit(settings.seed), "vec_id"], settings.sample_rows)
     if not sample:
         return base.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     router = fit(np.unique(np.array([r["v"] for r in sample]), axis=0), settings, count)

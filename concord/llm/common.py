@@ -77,6 +77,19 @@ def training_part(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def bounded_sample(rows: DataFrame, key: list, n: int) -> list:
+    """At most n rows, those with the smallest hash of ``key``; only about that many leave the executors.
+
+    A first count turns n into a bound on the hash, so tasks don't each send n rows.
+    """
+    hashed = rows.withColumn("_h", F.xxhash64(*key))
+    total = rows.count()
+    if total > n:
+        share = min(1.0, (n + 4 * n**0.5 + 16) / total)
+        hashed = hashed.where(F.col("_h") < int(-(1 << 63) + share * ((1 << 64) - 1)))
+    return hashed.orderBy("_h", *[c for c in rows.columns]).limit(n).collect()
+
+
 def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of consecutive segments of rows; empty segments give zero."""
     total = np.zeros((len(values) + 1, *values.shape[1:]), dtype=np.float64)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import segment_sums, ship, slices, texts_of
+from concord.llm.common import bounded_sample, segment_sums, ship, slices, texts_of
 
 ship(__name__)
 
@@ -138,8 +138,8 @@ def train(texts: list[bytes], labels: list[str], settings: Settings) -> Model |
 def fit(docs: DataFrame, where: Column, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Train on at most ``train_rows`` labelled rows of those that ``where`` admits, chosen by a hash of id and text."""
     rows = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(F.octet_length(text_col) <= settings.train_bytes)
-    rows = rows.select(F.xxhash64(F.lit(settings.seed), F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y"))
-    got = rows.orderBy("h", "y").limit(settings.train_rows).collect()
+    rows = rows.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("y"))
+    got = bounded_sample(rows, [F.lit(settings.seed), "i", "t"], settings.train_rows)
     got = [r for r in got if LETTER.search(r["t"])]
     return train([r["t"].encode() for r in got], [r["y"] for r in got], settings)
 
