@@ -1,6 +1,313 @@
-"""Queries over the driver's tables, by name, with their SQL twins."""
+"""Queries over the driver's tables, by name, with their SQL twins for DuckDB."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from concord.functions import entities, periods, text, units
+from concord.operators import browse, claims, grounding, linking, proposals
+from concord.plans import ledger
+from concord.sources import pages as page_source
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return keep
+
+
+def _stem(w: str) -> str:
+    cut = f"WHEN {w} LIKE '%ies' AND length({w}) > 4 THEN left({w}, -3) || 'y' " + " ".join(f"WHEN {w} LIKE '%{s}' AND length({w}) >= {4 + len(s)} THEN left({w}, -{len(s)})" for s in text.SUFFIXES)
+    return f"(CASE {cut} ELSE {w} END)"
+
+
+def _tokens(label: str) -> str:
+    """DuckDB list of the stems of a label."""
+    stop = ", ".join(f"'{s}'" for s in text.STOPWORDS)
+    raw = rf"list_filter(regexp_split_to_array(regexp_replace(lower({label}), '[^\w\s%]', ' ', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ({stop}))"
+    return f"list_transform(list_transform({raw}, lambda w: {_stem('w')}), lambda w: CASE WHEN length(w) >= 5 AND w LIKE '%e' THEN left(w, -1) ELSE w END)"
+
+
+def _key(label: str) -> str:
+    return f"array_to_string(list_sort(list_distinct({_tokens(label)})), ' ')"
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("normalize_ws_docs", r"SELECT doc_id, CAST(length(t) AS BIGINT) AS n, md5(t) AS digest FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)")
+def normalize_ws_docs(spark, sf_dir):
+    t = text.normalize_ws(F.col("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.length(t).cast("long").alias("n"), F.md5(t.cast("binary")).alias("digest"))
+
+
+LABELS = "SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' operating revenues' WHEN 1 THEN ' growth of expenses' WHEN 2 THEN ' average margins' ELSE ' estimated activities' END AS label, p_brand, p_size FROM part"
+
+
+@query("metric_key_parts", f"SELECT p_partkey, {_key('label')} AS metric_key FROM ({LABELS})")
+def metric_key_parts(spark, sf_dir):
+    return ledger.sql(spark, sf_dir, LABELS).select("p_partkey", text.metric_key(F.col("label")).alias("metric_key"))
+
+
+@query("derivative_kind_parts", "SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'growth' WHEN 2 THEN 'margin' WHEN 3 THEN NULL END AS kind FROM part")
+def derivative_kind_parts(spark, sf_dir):
+    return ledger.sql(spark, sf_dir, LABELS).select("p_partkey", text.derivative_kind(F.col("label")).alias("kind"))
+
+
+_TRI = "list_distinct(list_transform(range(1, length(k) + 3), lambda i: substr('  ' || k || '  ', CAST(i AS INT), 3)))"
+
+
+@query("trigram_similarity_parts", f"""
+WITH l AS (SELECT *, {_key('label')} AS k FROM ({LABELS})), t AS (SELECT p_partkey, p_brand, p_size, {_TRI} AS g FROM l)
+SELECT a.p_partkey AS part_a, b.p_partkey AS part_b, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity
+FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
+def trigram_similarity_parts(spark, sf_dir):
+    rows = ledger.sql(spark, sf_dir, LABELS).select("p_partkey", "p_brand", "p_size", text.trigrams(text.metric_key(F.col("label"))).alias("g"))
+    a, b = rows.alias("a"), rows.alias("b")
+    on = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
+    return a.join(b, on).select(F.col("a.p_partkey").alias("part_a"), F.col("b.p_partkey").alias("part_b"), F.round(text.jaccard(F.col("a.g"), F.col("b.g")), 6).alias("similarity"))
+
+
+@query("parse_values", ledger.FACTS + "SELECT id, value_num AS number, unit, approx AS is_approximate FROM facts")
+def parse_values(spark, sf_dir):
+    v = units.parse_value(ledger.written(spark, sf_dir), "value_raw", "unit_hint")
+    return v.select("id", "value.number", "value.unit", "value.is_approximate")
+
+
+_WRITTEN_RANGES = "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS q, CASE l_linenumber % 3 WHEN 0 THEN CAST(CAST(l_quantity AS INT) AS STRING) || ' to ' || CAST(CAST(l_quantity AS INT) + 5 AS STRING) || ' per cent' WHEN 1 THEN CAST(CAST(l_quantity AS INT) * 10 AS STRING) || ' bps' ELSE CAST(CAST(l_quantity AS INT) AS STRING) || '.5 times' END AS raw FROM lineitem"
+
+
+@query("parse_ranges", f"""
+SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN q + 2.5 WHEN 1 THEN q * 10.0 ELSE q + 0.5 END::DOUBLE AS number, CASE l_linenumber % 3 WHEN 0 THEN '%' WHEN 1 THEN 'bps' ELSE 'x' END AS unit,
+  l_linenumber % 3 = 0 AS is_range, CASE l_linenumber % 3 WHEN 0 THEN 'percent' WHEN 1 THEN 'percent' ELSE 'ratio' END AS kind FROM ({_WRITTEN_RANGES})""")
+def parse_ranges(spark, sf_dir):
+    v = units.parse_value(ledger.sql(spark, sf_dir, _WRITTEN_RANGES), "raw")
+    return v.select("l_orderkey", "l_linenumber", "value.number", "value.unit", "value.is_range", "value.kind")
+
+
+@query("implied_tolerance", "SELECT o_orderkey, round(CASE WHEN v = 0 THEN 0.01 ELSE least(greatest(0.05 / v, 0.0005), 0.1) END, 9) AS tolerance FROM (SELECT o_orderkey, round(o_totalprice)::BIGINT // 1000 + 0.5 AS v FROM orders)")
+def implied_tolerance(spark, sf_dir):
+    raw = F.concat(F.expr("CAST(round(o_totalprice) AS BIGINT) div 1000").cast("string"), F.lit(".5"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.round(units.implied_tolerance(raw, raw.cast("double")), 9).alias("tolerance"))
+
+
+@query("humanize_totals", "SELECT o_orderkey, 'INR ' || CASE WHEN v >= 1e7 THEN format('{:,.2f}', v / 1e7) || ' crore' WHEN v >= 1e6 THEN format('{:,.2f}', v / 1e6) || ' mn' ELSE format('{:,.2f}', v) END AS words FROM (SELECT o_orderkey, (round(o_totalprice) * 50)::DOUBLE AS v FROM orders)")
+def humanize_totals(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", units.humanize(F.round("o_totalprice") * 50, F.lit("INR")).alias("words"))
+
+
+_PERIODS = "SELECT o_orderkey, year(o_orderdate + INTERVAL 9 MONTH) AS fy, year(o_orderdate) AS cy, month(o_orderdate) AS m, CAST(o_orderkey % 5 AS INT) AS k FROM orders"
+
+
+@query("fiscal_periods", f"""
+SELECT o_orderkey, CASE k WHEN 0 THEN 'FY' WHEN 1 THEN 'QUARTER' WHEN 2 THEN 'FY' WHEN 3 THEN 'CY' ELSE 'POINT' END AS kind,
+  CASE k WHEN 0 THEN make_date(fy - 1, 4, 1) WHEN 1 THEN make_date(fy - 1, 10, 1) WHEN 2 THEN make_date(fy - 1, 4, 1) WHEN 3 THEN make_date(cy, 1, 1) ELSE make_date(cy, 3, 31) END AS p0,
+  CASE k WHEN 0 THEN make_date(fy, 3, 31) WHEN 1 THEN make_date(fy - 1, 12, 31) WHEN 2 THEN make_date(fy, 3, 31) WHEN 3 THEN make_date(cy, 12, 31) ELSE make_date(cy, 3, 31) END AS p1
+FROM ({_PERIODS})""")
+def fiscal_periods(spark, sf_dir):
+    raw = F.expr("CASE k WHEN 0 THEN 'FY' || fy WHEN 1 THEN 'Q3 FY' || fy WHEN 2 THEN 'for the year ended March 31, ' || fy WHEN 3 THEN 'calendar year ' || cy ELSE 'as at 31 March ' || cy END")
+    p = periods.parse_period(F.col("raw"))
+    return ledger.sql(spark, sf_dir, _PERIODS).select("o_orderkey", raw.alias("raw")).select("o_orderkey", p.alias("p")).select("o_orderkey", "p.kind", F.col("p.start").alias("p0"), F.col("p.end").alias("p1"))
+
+
+@query("period_relations", """
+WITH f AS (SELECT o_custkey, min(o_orderdate)::DATE AS a0, max(o_orderdate)::DATE AS a1 FROM orders GROUP BY 1), g AS (SELECT o_custkey, min(o_orderdate)::DATE AS b0, max(o_orderdate)::DATE AS b1 FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT f.o_custkey, CASE WHEN b0 IS NULL THEN 'UNKNOWN' WHEN a0 = b0 AND a1 = b1 THEN 'EQUAL' WHEN a0 <= b0 AND a1 >= b1 THEN 'CONTAINS' WHEN b0 <= a0 AND b1 >= a1 THEN 'CONTAINED_BY' WHEN a1 < b0 OR b1 < a0 THEN 'DISJOINT' ELSE 'OVERLAPS' END AS relation
+FROM f LEFT JOIN g ON f.o_custkey = g.o_custkey""")
+def period_relations(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    at = lambda f: F.to_date(f("o_orderdate"))
+    done = lambda c: F.when(F.col("o_orderstatus") == "F", F.col(c))
+    g = o.groupBy("o_custkey").agg(at(F.min).alias("a0"), at(F.max).alias("a1"), F.to_date(F.min(done("o_orderdate"))).alias("b0"), F.to_date(F.max(done("o_orderdate"))).alias("b1"))
+    return g.select("o_custkey", periods.compare_periods(*[F.col(c) for c in ("a0", "a1", "b0", "b1")]).alias("relation"))
+
+
+@query("normalize_entities", r"SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^\w\s&]+', ' ', 'g')) AS key FROM supplier")
+def normalize_entities(spark, sf_dir):
+    name = F.concat(F.lit("The "), F.col("s_name"), F.expr("CASE s_suppkey % 3 WHEN 0 THEN ' Private Limited' WHEN 1 THEN ', Inc.' ELSE ' Holdings plc' END"))
+    return _t(spark, sf_dir, "supplier").select("s_suppkey", entities.normalize_entity(name).alias("key"))
+
+
+@query("primary_entity", """
+WITH n AS (SELECT c_nationkey::STRING AS doc_id, lower(c_mktsegment) AS key, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1, 2),
+s AS (SELECT *, sqrt(n / sum(n) OVER (PARTITION BY doc_id)) + 0.02 AS score FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, first) AS r FROM s)
+SELECT doc_id, upper(key) AS primary_entity, key, round(score, 6) AS score FROM r WHERE r = 1""")
+def primary_entity(spark, sf_dir):
+    return entities.primary_entity(_t(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("doc_id"), F.col("c_custkey").alias("pos"), F.col("c_mktsegment").alias("subject")))
+
+
+@query("idf_weights", f"""
+WITH t AS (SELECT unnest(list_distinct({_tokens('label')})) AS token FROM ({LABELS})), n AS (SELECT count(*) AS n FROM part)
+SELECT token, count(*) AS df, round(ln(1 + (SELECT n FROM n) / count(*)), 9) AS idf FROM t GROUP BY token""")
+def idf_weights(spark, sf_dir):
+    f = ledger.sql(spark, sf_dir, LABELS).select(F.col("p_partkey").alias("id"), text.metric_key(F.col("label")).alias("metric_key"))
+    return linking.idf_weights(f).select("token", "df", F.round("idf", 9).alias("idf"))
+
+
+@query("candidate_pairs", ledger.PAIRS + "SELECT fact_a, fact_b, 1.0::DOUBLE AS similarity FROM pairs")
+def candidate_pairs(spark, sf_dir):
+    return linking.candidates(ledger.facts(spark, sf_dir)).select("fact_a", "fact_b", "similarity")
+
+
+@query("pair_verdicts", ledger.VERDICTS + "SELECT fact_a, fact_b, kind, rule, score, dimension, needs_llm, cross_doc, round(rel_diff, 9) AS rel_diff FROM verdicts")
+def pair_verdicts(spark, sf_dir):
+    v = linking.link(ledger.facts(spark, sf_dir))
+    return v.select("fact_a", "fact_b", "kind", "rule", "score", "dimension", "needs_llm", "cross_doc", F.round("observation.rel_diff", 9).alias("rel_diff"))
+
+
+@query("verdict_counts", ledger.VERDICTS + "SELECT kind, dimension, count(*) AS n FROM verdicts GROUP BY 1, 2")
+def verdict_counts(spark, sf_dir):
+    return linking.link(ledger.facts(spark, sf_dir)).groupBy("kind", "dimension").agg(F.count("*").alias("n"))
+
+
+_RANK = "CASE kind WHEN 'CONTRADICTS' THEN 0 WHEN 'RECONCILED' THEN 1 WHEN 'CORROBORATES' THEN 2 ELSE 3 END"
+
+
+@query("adjudication_budget", ledger.VERDICTS + f"SELECT fact_a, fact_b, kind FROM verdicts WHERE needs_llm ORDER BY {_RANK}, cross_doc DESC, fact_a, fact_b LIMIT 140")
+def adjudication_budget(spark, sf_dir):
+    return linking.escalate(linking.link(ledger.facts(spark, sf_dir)), 140)[0].select("fact_a", "fact_b", "kind")
+
+
+@query("enumerations", "SELECT o_custkey::STRING AS doc_id, count(DISTINCT round(o_totalprice, 6)) AS n_values FROM orders GROUP BY o_custkey, year(o_orderdate) HAVING count(DISTINCT round(o_totalprice, 6)) >= 3")
+def enumerations(spark, sf_dir):
+    f = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.lit("s").alias("subject_key"), F.lit("m").alias("metric_cluster"), F.year("o_orderdate").cast("string").alias("period_canonical"), F.col("o_totalprice").alias("value_num"))
+    return linking.enumerations(f).select("doc_id", "n_values")
+
+
+_CLAIMS = """, units AS (SELECT subject_key, canonical, min_by(unit, id) AS unit FROM facts GROUP BY 1, 2),
+g AS (SELECT f.subject_key, f.canonical AS period_canonical, u.unit, count(*) AS n_facts, count(DISTINCT doc_id) AS n_documents,
+    min(CASE WHEN f.unit = u.unit THEN value_num END) AS low, max(CASE WHEN f.unit = u.unit THEN value_num END) AS high, count(CASE WHEN f.unit = u.unit THEN 1 END) AS n_values, max(CASE WHEN f.unit = u.unit THEN tol END) AS tol
+  FROM facts f JOIN units u ON f.subject_key = u.subject_key AND f.canonical = u.canonical GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+s AS (SELECT *, CASE WHEN n_values < 2 OR greatest(abs(low), abs(high)) = 0 THEN 0 ELSE (high - low) / greatest(abs(low), abs(high)) END AS spread FROM g),
+claims AS (SELECT *, CASE WHEN n_values < 2 THEN 'single' WHEN spread <= CASE WHEN coalesce(tol, 0) = 0 THEN 0.002 ELSE tol END THEN 'agree' ELSE 'disagree' END AS status FROM s)
+"""
+
+
+@query("claims_spread", ledger.FACTS + _CLAIMS + """
+SELECT subject_key, period_canonical, unit, n_facts, n_documents, round(low, 3) AS low, round(high, 3) AS high, status, round(spread * sqrt(n_documents) * CASE WHEN status = 'disagree' THEN 2 ELSE 1 END, 4) AS materiality FROM claims""")
+def claims_spread(spark, sf_dir):
+    c = claims.claims(ledger.facts(spark, sf_dir))
+    return c.select("subject_key", "period_canonical", "unit", "n_facts", "n_documents", F.round("low", 3).alias("low"), F.round("high", 3).alias("high"), "status", "materiality")
+
+
+@query("claims_explained", ledger.VERDICTS + _CLAIMS + """
+, k AS (SELECT a.subject_key, a.canonical, list_sort(list(DISTINCT kind)) AS kinds FROM verdicts JOIN facts a ON fact_a = a.id JOIN facts b ON fact_b = b.id WHERE a.subject_key = b.subject_key AND a.canonical = b.canonical GROUP BY 1, 2)
+SELECT c.subject_key, c.period_canonical, CASE WHEN c.status = 'disagree' AND list_contains(kinds, 'RECONCILED') AND NOT list_contains(kinds, 'CONTRADICTS') THEN 'explained' ELSE c.status END AS status, array_to_string(kinds, ',') AS kinds
+FROM claims c LEFT JOIN k ON c.subject_key = k.subject_key AND c.period_canonical = k.canonical""")
+def claims_explained(spark, sf_dir):
+    f = ledger.facts(spark, sf_dir)
+    return claims.claims(f, linking.link(f)).select("subject_key", "period_canonical", "status", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query("claim_stats", ledger.FACTS + _CLAIMS + "SELECT status, count(*) AS n, count(CASE WHEN n_documents > 1 THEN 1 END) AS cross_document FROM claims GROUP BY 1")
+def claim_stats(spark, sf_dir):
+    return claims.claim_stats(claims.claims(ledger.facts(spark, sf_dir)))
+
+
+@query("case_ranking")
+def case_ranking(spark, sf_dir):
+    f = ledger.facts(spark, sf_dir)
+    return claims.cases(linking.pair_rows(linking.link(f), f)).select("kind", "case_rank", "fact_a", "fact_b", "case_score")
+
+
+@query("schema_registry", ledger.FACTS + """, e AS (SELECT 'unit' AS kind, unit AS key, value_raw AS example, id, doc_id FROM facts UNION ALL SELECT 'metric', 'oper revenu', metric_raw, id, doc_id FROM facts UNION ALL SELECT 'qualifier', 'basis', basis, id, doc_id FROM facts),
+o AS (SELECT kind, key, example, min(id) AS first_at, count(*) AS n, min_by(doc_id, id) AS doc FROM e GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY first_at, example) AS r FROM o)
+SELECT kind, key, sum(n)::BIGINT AS count, array_to_string(list(example ORDER BY r) FILTER (WHERE r <= 6), '|') AS examples, min_by(doc, first_at) AS first_doc FROM r GROUP BY 1, 2""")
+def schema_registry(spark, sf_dir):
+    return claims.registry(ledger.facts(spark, sf_dir)).where("kind <> 'subject'").select("kind", "key", "count", F.array_join("examples", "|").alias("examples"), "first_doc")
+
+
+@query("search_facts", ledger.FACTS + "SELECT id, metric_raw, value_raw FROM facts WHERE doc_id = 'lineitem' AND lower(value_raw) LIKE '%about%' ORDER BY id LIMIT 200")
+def search_facts(spark, sf_dir):
+    return browse.search_facts(ledger.facts(spark, sf_dir), q="ABOUT", doc_id="lineitem", limit=200).select("id", "metric_raw", "value_raw")
+
+
+@query("related_facts", ledger.VERDICTS + "SELECT id, value_raw FROM facts WHERE id IN (SELECT fact_a FROM verdicts WHERE kind = 'CORROBORATES' UNION SELECT fact_b FROM verdicts WHERE kind = 'CORROBORATES')")
+def related_facts(spark, sf_dir):
+    f = ledger.facts(spark, sf_dir)
+    return f.join(browse.related_ids(linking.link(f).where("kind = 'CORROBORATES'")), "id", "left_semi").select("id", "value_raw")
+
+
+@query("relation_listing", ledger.VERDICTS + "SELECT v.fact_a, v.fact_b, a.metric_raw AS metric_a, b.metric_raw AS metric_b FROM verdicts v JOIN facts a ON fact_a = a.id JOIN facts b ON fact_b = b.id WHERE dimension = 'sign convention' OR dimension = 'basis' ORDER BY v.cross_doc DESC, v.score DESC, v.fact_a, v.fact_b LIMIT 100")
+def relation_listing(spark, sf_dir):
+    f = ledger.facts(spark, sf_dir)
+    r = linking.link(f).where("dimension IN ('sign convention', 'basis')")
+    return browse.search_relations(r, f).select("fact_a", "fact_b", "metric_a", "metric_b")
+
+
+@query("corpus_stats", ledger.VERDICTS + ", f AS (SELECT count(*) AS facts, count(DISTINCT subject_key) AS subjects, count(CASE WHEN p0 IS NULL THEN 1 END) AS unknown_periods FROM facts), v AS (SELECT count(*) AS relations, count(CASE WHEN cross_doc THEN 1 END) AS cross_document, count(CASE WHEN kind = 'RECONCILED' THEN 1 END) AS reconciled FROM verdicts) SELECT * FROM f, v")
+def corpus_stats(spark, sf_dir):
+    f = ledger.facts(spark, sf_dir)
+    return browse.corpus_stats(f, linking.link(f)).select("facts", "subjects", "unknown_periods", "relations", "cross_document", "reconciled")
+
+
+@query("per_document", ledger.FACTS + "SELECT doc_id, count(*) AS facts, count(*) AS grounded, 100.0::DOUBLE AS grounded_pct FROM facts GROUP BY 1")
+def per_document(spark, sf_dir):
+    return browse.per_document(ledger.facts(spark, sf_dir))
+
+
+_QUOTES = "SELECT doc_id, text, CASE WHEN doc_id % 3 = 2 THEN 'qqzz wwxx vvyy ' || CAST(doc_id AS STRING) ELSE substr(text, 5, 70) END AS quote FROM documents"
+
+
+@query("ground_quotes", rf"SELECT doc_id::STRING AS id, CASE WHEN length(q) >= 12 AND contains(t, q) THEN 'verbatim' END AS mode FROM (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t, lower(trim(regexp_replace(quote, '\s+', ' ', 'g'))) AS q FROM ({_QUOTES}))")
+def ground_quotes(spark, sf_dir):
+    rows = ledger.sql(spark, sf_dir, _QUOTES).withColumn("id", F.col("doc_id").cast("string"))
+    quotes = rows.select("id", F.col("id").alias("doc_id"), "quote", F.lit(1).alias("page"), F.array(F.lit(1)).alias("pages"))
+    return grounding.ground(quotes, rows.select(F.col("id").alias("doc_id"), F.lit(1).alias("page"), "text")).select("id", "mode")
+
+
+@query("grounding_failures", r"""
+SELECT doc_id, CASE WHEN NOT contains(t, v) THEN 'evidence_not_found_in_document' WHEN doc_id % 2 = 0 AND length(m) > 3 AND contains(t, m) THEN 'table_association_unverifiable' ELSE 'value_present_but_quote_unverifiable' END AS reason
+FROM (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t, CASE WHEN doc_id % 5 = 0 THEN 'absent value' ELSE lower(trim(substr(text, 1, 3))) END AS v, lower(regexp_extract(text, '([a-zA-Z]{4,12})', 1)) AS m FROM documents)""")
+def grounding_failures(spark, sf_dir):
+    v = F.when(F.col("doc_id") % 5 == 0, "absent value").otherwise(F.substring("text", 1, 3))
+    m = F.when(F.col("doc_id") % 2 == 0, F.regexp_extract("text", "([a-zA-Z]{4,12})", 1)).otherwise("zzqqxxyy")
+    return _t(spark, sf_dir, "documents").select("doc_id", grounding.failure_reason(v, m, F.lower(text.normalize_ws(F.col("text")))).alias("reason"))
+
+
+@query("quarantine_reasons", """
+SELECT reason, count(*) AS n FROM (SELECT CASE WHEN event_type = 'click' AND event_id % 2 = 0 THEN 'missing_metric' WHEN event_id % 3 = 0 THEN 'missing_value' WHEN length(trim(props)) < 12 THEN 'evidence_too_short' END AS reason FROM events) WHERE reason IS NOT NULL GROUP BY 1""")
+def quarantine_reasons(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    p = e.select(F.col("event_id").cast("string").alias("doc_id"), F.when((F.col("event_type") == "click") & (F.col("event_id") % 2 == 0), "").otherwise(F.col("event_type")).alias("metric"), F.when(F.col("event_id") % 3 != 0, F.col("value").cast("string")).alias("value"), F.col("props").alias("evidence"))
+    return browse.quarantine_reasons(proposals.split_valid(p)[1])
+
+
+@query("qualifier_deltas", """
+SELECT a.event_id, a.props ->> '$.k' AS left_k, b.props ->> '$.k' AS right_k FROM events a JOIN events b ON a.event_id + 1 = b.event_id WHERE coalesce(a.props ->> '$.k', '') <> coalesce(b.props ->> '$.k', '')""")
+def qualifier_deltas(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("q"))
+    n = e.select((F.col("event_id") - 1).alias("event_id"), F.col("q").alias("r"))
+    d = e.join(n, "event_id").select("event_id", text.qualifier_deltas(F.col("q"), F.col("r")).alias("d")).where(F.size("d") > 0)
+    return d.select("event_id", F.col("d")["k"][0].alias("left_k"), F.col("d")["k"][1].alias("right_k"))
+
+
+@query("chunk_documents")
+def chunk_documents(spark, sf_dir):
+    pages = page_source.pages_of(_t(spark, sf_dir, "documents"), "doc_id", "text", 3000)
+    return page_source.chunk_pages(pages).select("doc_id", "ordinal", "page_start", "page_end", F.length("text").alias("n"))
+
+
+@query("heuristic_extract")
+def heuristic_extract(spark, sf_dir):
+    pages = page_source.pages_of(_t(spark, sf_dir, "documents"), "doc_id", "text", 3000)
+    return proposals.heuristic_facts(page_source.chunk_pages(pages))
+
+
+@query("threshold_sweep")
+def threshold_sweep(spark, sf_dir):
+    from dataclasses import replace
+
+    from concord.thresholds import DEFAULTS
+
+    f = ledger.facts(spark, sf_dir)
+    return linking.sweep({("scale_window", w): linking.link(f, settings=replace(DEFAULTS, scale_window=w)) for w in (0.05, 0.18, 0.30)})
