@@ -110,13 +110,13 @@ _PERIODS = "SELECT o_orderkey, year(o_orderdate + INTERVAL 9 MONTH) AS fy, year(
 
 @query("fiscal_periods", f"""
 SELECT o_orderkey, CASE k WHEN 0 THEN 'FY' WHEN 1 THEN 'QUARTER' WHEN 2 THEN 'FY' WHEN 3 THEN 'CY' ELSE 'POINT' END AS kind,
-  CASE k WHEN 0 THEN make_date(fy - 1, 4, 1) WHEN 1 THEN make_date(fy - 1, 10, 1) WHEN 2 THEN make_date(fy - 1, 4, 1) WHEN 3 THEN make_date(cy, 1, 1) ELSE make_date(cy, 3, 31) END AS p0,
-  CASE k WHEN 0 THEN make_date(fy, 3, 31) WHEN 1 THEN make_date(fy - 1, 12, 31) WHEN 2 THEN make_date(fy, 3, 31) WHEN 3 THEN make_date(cy, 12, 31) ELSE make_date(cy, 3, 31) END AS p1
+  CAST(CASE k WHEN 0 THEN make_date(fy - 1, 4, 1) WHEN 1 THEN make_date(fy - 1, 10, 1) WHEN 2 THEN make_date(fy - 1, 4, 1) WHEN 3 THEN make_date(cy, 1, 1) ELSE make_date(cy, 3, 31) END AS VARCHAR) AS p0,
+  CAST(CASE k WHEN 0 THEN make_date(fy, 3, 31) WHEN 1 THEN make_date(fy - 1, 12, 31) WHEN 2 THEN make_date(fy, 3, 31) WHEN 3 THEN make_date(cy, 12, 31) ELSE make_date(cy, 3, 31) END AS VARCHAR) AS p1
 FROM ({_PERIODS})""")
 def fiscal_periods(spark, sf_dir):
     raw = F.expr("CASE k WHEN 0 THEN 'FY' || fy WHEN 1 THEN 'Q3 FY' || fy WHEN 2 THEN 'for the year ended March 31, ' || fy WHEN 3 THEN 'calendar year ' || cy ELSE 'as at 31 March ' || cy END")
     p = periods.parse_period(F.col("raw"))
-    return ledger.sql(spark, sf_dir, _PERIODS).select("o_orderkey", raw.alias("raw")).select("o_orderkey", p.alias("p")).select("o_orderkey", "p.kind", F.col("p.start").alias("p0"), F.col("p.end").alias("p1"))
+    return ledger.sql(spark, sf_dir, _PERIODS).select("o_orderkey", raw.alias("raw")).select("o_orderkey", p.alias("p")).select("o_orderkey", "p.kind", F.col("p.start").cast("string").alias("p0"), F.col("p.end").cast("string").alias("p1"))
 
 
 @query("period_relations", """
