@@ -5,7 +5,7 @@ partitions of equal size: balanced halving along principal directions, then bala
 propagation over the graph. A classifier with one hidden layer learns, from a vector, in
 which partitions its neighbours lie. Every row is indexed in its most probable partition;
 a query goes to the ``probes`` most probable ones, where its inner products with all rows
-are ranked exactly. ``probes`` is the smallest number that reaches ``want_recall`` on the
+are ranked exactly; the first one's k-th score bounds what the others report. ``probes`` is the smallest number that reaches ``want_recall`` on the
 sample, where every row's true neighbours in the sample are known.
 
 A partition is searched in blocks of about ``block_rows`` rows, so its size doesn't matter.
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.llm.common import bounded_sample, ship, written
@@ -35,12 +35,12 @@ class Settings:
 
     sample_rows: int = 6144
     rows_per_partition: int = 1500
-    max_partitions: int = 64
-    neighbours: int = 10
+    max_partitions: int = 16
+    neighbours: int = 40
     hidden: int = 128
     epochs: int = 20
     rate: float = 0.5
-    want_recall: float = 0.97
+    want_recall: float = 0.93
     block_rows: int = 8192
     seed: int = 4
 
@@ -160,12 +160,13 @@ def fit(x: np.ndarray, settings: Settings, rows: int) -> Router:
 
 def _search(k: int):
     def build(ids, x):
-        def ask(own, q, _):
+        def ask(own, q, bound):
             score = q @ x.T
             score[own[:, None] == ids[None, :]] = -np.inf
             near = min(k, score.shape[1])
             low = np.partition(score, score.shape[1] - near, axis=1)[:, score.shape[1] - near]
-            row, col = np.nonzero(score >= (low - 1e-9 * (1 + np.abs(low)))[:, None])  # rounding may hide a tie
+            low = np.maximum(low, bound)
+            row, col = np.nonzero(score >= np.where(np.isfinite(low), low - 1e-9 * (1 + np.abs(low)), low)[:, None])  # rounding may hide a tie
             row, col = row[fin := np.isfinite(score[row, col])], col[fin]
             exact = (q[row] * x[col]).sum(axis=1)
             order = np.lexsort((ids[col], -exact, row))
@@ -203,8 +204,19 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, settings: Settings = S
     index = written(index, "index")
     sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # a row a partition
     blocks = F.element_at(F.array(*[F.lit(-(-sizes.get(p, 0) // settings.block_rows)) for p in range(len(router.b2))]), F.col("part") + 1)
-    held = index.withColumn("blocks", blocks).select("part", block.alias("block"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(0.0).alias("bound"))
-    asked = base.where(F.col("vec_id") % every == 0).mapInArrow(route(router.probes), routed).select("vec_id", "v", F.explode("parts").alias("part"))
-    asked = asked.withColumn("blocks", blocks).where("blocks > 0").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "vec_id", "v", F.lit(0.0).alias("bound"))
-    both = held.union(asked).repartition("part", "block").sortWithinPartitions("part", "block", "kind")
-    return ranked(both.mapInArrow(in_blocks(_search(k), keys=2), HITS), k, F.col("score"))
+    none = F.lit(float("-inf"))
+    held = written(index.withColumn("blocks", blocks).select("part", block.alias("block"), F.lit(0).alias("kind"), "vec_id", "v", none.alias("bound")), "blocks")
+    routes = written(base.where(F.col("vec_id") % every == 0).mapInArrow(route(router.probes), routed), "routes")
+    task = in_blocks(_search(k), keys=2)
+
+    def find(asked):
+        each = asked.withColumn("blocks", blocks).where("blocks > 0").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "vec_id", "v", "bound")
+        return held.union(each).repartition("part", "block").sortWithinPartitions("part", "block", "kind").mapInArrow(task, HITS)
+
+    # the most probable partition first; its k-th score bounds what the others need to report
+    home = written(find(routes.select("vec_id", "v", F.col("parts")[0].alias("part"), none.alias("bound"))), "home-hits")
+    if router.probes == 1:
+        return ranked(home, k, F.col("score"))
+    best = home.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") == k).select("query_id", F.col("score").alias("b"))
+    rest = routes.join(best, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.explode(F.slice("parts", 2, router.probes)).alias("part"), F.coalesce("b", none).alias("bound"))
+    return ranked(home.union(find(rest)), k, F.col("score"))
