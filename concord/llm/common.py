@@ -84,9 +84,9 @@ def bounded_sample(rows: DataFrame, key: list, n: int) -> list:
     """
     hashed = rows.withColumn("_h", F.xxhash64(*key))
     total = rows.count()
-    if total > n:
-        share = min(1.0, (n + 4 * n**0.5 + 16) / total)
-        hashed = hashed.where(F.col("_h") < int(-(1 << 63) + share * ((1 << 64) - 1)))
+    share = (n + 4 * n**0.5 + 16) / max(1, total)
+    if share < 0.9:
+        hashed = hashed.where(F.col("_h") < int(-(1 << 63) + share * (1 << 64)))
     return hashed.orderBy("_h", *[c for c in rows.columns]).limit(n).collect()
 
 
