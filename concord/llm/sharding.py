@@ -138,7 +138,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 20, fine: i
     # a group's k-th document goes to the cell whose range of ranks holds k
     ranges = cells.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("cells"))
     upto = F.aggregate("cells", F.array().cast("array<bigint>"), lambda acc, c: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + c["n"])))
-    ranges = ranges.select(F.col("grp").alias("_grp"), "cells", upto.alias("upto"))
+    ranges = written(ranges.select(F.col("grp").alias("_grp"), "cells", upto.alias("upto")), "ranges")  # so that the join below reads two plain shuffles, which Spark splits where a group is hot
     ranked = numbered(base, ["grp"], ["doc_id"], None, seed).withColumnRenamed("rank", "copy")
     placed = ranked.join(ranges, F.col("grp") == F.col("_grp"))
     at = F.size(F.filter("upto", lambda x: x <= F.col("copy")))
