@@ -311,3 +311,68 @@ def threshold_sweep(spark, sf_dir):
 
     f = ledger.facts(spark, sf_dir)
     return linking.sweep({("scale_window", w): linking.link(f, settings=replace(DEFAULTS, scale_window=w)) for w in (0.05, 0.18, 0.30)})
+
+
+_RELATED_FACT = "o-5-1996"
+
+
+@query("relations_of_fact", ledger.VERDICTS + f"SELECT fact_a, fact_b, kind, rule FROM verdicts WHERE fact_a = '{_RELATED_FACT}' OR fact_b = '{_RELATED_FACT}'")
+def relations_of_fact(spark, sf_dir):
+    return browse.relations_of(linking.link(ledger.facts(spark, sf_dir)), _RELATED_FACT).select("fact_a", "fact_b", "kind", "rule")
+
+
+# The first batch ranks partners among its own facts, the second one among all.
+_TWO_BATCHES = ledger.VERDICTS.replace(
+    "pairs AS (SELECT DISTINCT least(a, b)",
+    "old AS (SELECT p.id AS a, f.id AS b, row_number() OVER (PARTITION BY p.id ORDER BY f.id) AS r FROM facts p JOIN facts f ON p.subject_key = f.subject_key AND p.id <> f.id WHERE p.doc_id = 'orders' AND f.doc_id = 'orders'),\n"
+    "batched AS (SELECT a, b, r FROM near WHERE a LIKE 'l-%' UNION ALL SELECT a, b, r FROM old),\npairs AS (SELECT DISTINCT least(a, b)",
+).replace("FROM near WHERE r <= 12)", "FROM batched WHERE r <= 12)")
+
+
+@query("incremental_link", _TWO_BATCHES + "SELECT fact_a, fact_b, kind, rule FROM verdicts")
+def incremental_link(spark, sf_dir):
+    """The orders' facts first, then the line items' facts against all; a stored relation stays."""
+    f = ledger.facts(spark, sf_dir)
+    stored = linking.link(f.where("doc_id = 'orders'")).select("fact_a", "fact_b", "kind", "rule")
+    new = linking.link(f, f.where("doc_id = 'lineitem'")).select("fact_a", "fact_b", "kind", "rule")
+    return stored.unionByName(linking.append_new(stored, new))
+
+
+# Flagged pairs of two fiscal years have recorded verdicts.
+_RECORDED = "SELECT fact_a, fact_b, CASE WHEN fact_a LIKE '%7' THEN 'UNRELATED' WHEN fact_a LIKE '%6' THEN 'CONTRADICTS' ELSE 'RECONCILED' END AS verdict FROM verdicts WHERE needs_llm AND (fact_b LIKE '%6' OR fact_b LIKE '%7')"
+
+
+@query("adjudicated_verdicts", ledger.VERDICTS + f""", recorded AS ({_RECORDED})
+SELECT v.fact_a, v.fact_b, coalesce(verdict, kind) AS kind, CASE WHEN verdict IS NULL THEN 'rule' WHEN verdict = kind THEN 'hybrid' ELSE 'llm' END AS decided, coalesce(verdict <> kind, false) AS overturned
+FROM verdicts v LEFT JOIN recorded r ON v.fact_a = r.fact_a AND v.fact_b = r.fact_b WHERE coalesce(verdict, '') <> 'UNRELATED'""")
+def adjudicated_verdicts(spark, sf_dir):
+    v = linking.link(ledger.facts(spark, sf_dir))
+    verdict = F.expr("CASE WHEN fact_a LIKE '%7' THEN 'UNRELATED' WHEN fact_a LIKE '%6' THEN 'CONTRADICTS' ELSE 'RECONCILED' END")
+    recorded = v.where("needs_llm AND (fact_b LIKE '%6' OR fact_b LIKE '%7')").select("fact_a", "fact_b", verdict.alias("verdict"), F.lit(0.9).alias("confidence"), F.lit("").alias("dimension"), F.lit("").alias("explanation"), F.lit("").alias("reconciling_evidence"))
+    decided = F.when(F.col("adjudicated"), F.col("method")).otherwise("rule")
+    return linking.adjudicate(v, recorded).select("fact_a", "fact_b", "kind", decided.alias("decided"), "overturned")
+
+
+_ELIDED = "SELECT doc_id, text, substr(text, 1, 60) || ' ... ' || CASE WHEN doc_id % 3 = 0 THEN 'words that no document has in it' ELSE substr(text, 80, 60) END AS quote FROM documents"
+
+
+@query("ground_shingles", rf"""
+WITH q AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t, lower(trim(regexp_replace(quote, '\s+', ' ', 'g'))) AS q FROM ({_ELIDED})),
+s AS (SELECT doc_id, t, list_filter(list_transform(string_split_regex(q, '\.\.\.|…|\|'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM q),
+r AS (SELECT doc_id, t, flatten(list_transform(parts, lambda x: CASE WHEN len(string_split(x, ' ')) <= 4 THEN [x]
+  ELSE list_transform(range(1, len(string_split(x, ' ')) - 1), lambda i: array_to_string(list_slice(string_split(x, ' '), i, i + 2), ' ')) END)) AS runs FROM s),
+f AS (SELECT doc_id, t, list_filter(runs, lambda x: length(x) >= 6) AS runs FROM r)
+SELECT doc_id, CASE WHEN len(runs) >= 2 THEN round(len(list_filter(runs, lambda x: contains(t, x)))::DOUBLE / len(runs), 6) END AS coverage FROM f""")
+def ground_shingles(spark, sf_dir):
+    flat = lambda c: F.lower(text.normalize_ws(F.col(c)))
+    return ledger.sql(spark, sf_dir, _ELIDED).select("doc_id", F.round(grounding.shingle_coverage(flat("quote"), flat("text")), 6).alias("coverage"))
+
+
+@query("ground_fuzzy")
+def ground_fuzzy(spark, sf_dir):
+    """Quotes with one word changed, which the similarity tier finds; SQL has no such similarity."""
+    changed = "SELECT doc_id, text, substr(text, 5, 40) || 'qq ' || substr(text, 45, 40) AS quote FROM documents"
+    rows = ledger.sql(spark, sf_dir, changed).withColumn("id", F.col("doc_id").cast("string"))
+    quotes = rows.select("id", F.col("id").alias("doc_id"), "quote", F.lit(1).alias("page"), F.array(F.lit(1)).alias("pages"))
+    found = grounding.ground(quotes, rows.select(F.col("id").alias("doc_id"), F.lit(1).alias("page"), "text"))
+    return found.select("id", "found_page", "ratio", "verified", "mode")

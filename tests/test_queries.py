@@ -1,5 +1,7 @@
 """Every query with a SQL twin gives the twin's rows."""
 
+import difflib
+
 import duckdb
 import pytest
 
@@ -30,6 +32,28 @@ def test_runs(spark, sf_dir, name):
     spark.catalog.clearCache()
 
 
+def test_fuzzy_grounding_equals_brute_force(spark, sf_dir):
+    """Ratio to the text around the longest common block, whole texts read one at a time."""
+    got = {int(r["id"]): r for r in registry.QUERIES["ground_fuzzy"](spark, sf_dir).collect()}
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert set(got) == set(docs)
+    fuzzy = 0
+    for i, text in docs.items():
+        quote = " ".join(f"{text[4:44]}qq {text[44:84]}".split()).lower()
+        page = " ".join(text.split()).lower()
+        if len(quote) < 12 or quote in page:
+            continue
+        block = difflib.SequenceMatcher(None, quote, page, autojunk=False).find_longest_match()
+        near = page[max(0, block.b - block.a - 10) :][: len(quote) + 20]
+        ratio = round(difflib.SequenceMatcher(None, quote, near, autojunk=False).ratio(), 3) if block.size >= 12 else 0
+        if ratio >= 0.62:
+            fuzzy += 1
+            assert (got[i]["mode"], got[i]["ratio"], got[i]["verified"]) == ("fuzzy", ratio, ratio >= 0.8)
+        else:
+            assert got[i]["mode"] != "fuzzy"
+    assert fuzzy > 100
+
+
 def test_entry(spark):
     import __spark_entry__
 
