@@ -2,11 +2,11 @@
 
 Sources in code-point order (null last) get the repeating weights and share all words; a
 source's target stops at ``max_repeat`` times its size and the excess is shared again by
-weight among the rest. Every source's documents stand in a seeded order as one sequence of
-words cut into blocks of equal length. Blocks are allotted to sources by highest quotient
-target / (2 n + 1); consecutive runs of that allotment are the shards' integer quotas. A
-source with quota q takes q blocks' words: whole passes first, then blocks in seeded order,
-the last cut to size. What a document takes is the overlap of its words with those blocks.
+weight among the rest. A source gives its target to the word. Every source's documents stand
+in a seeded order as one sequence of words cut into blocks of equal length. Blocks are
+allotted to sources by highest quotient target / (2 n + 1) until each has those its words
+need; consecutive runs of that allotment are the shards' integer quotas. A source takes
+whole passes first, then blocks in seeded order, the last cut to size. What a document takes is the overlap of its words with those blocks.
 
 A null or empty text has no words and takes none; its row stays. A null source is a source
 of its own. Rows that repeat an id are told apart by their text; rows equal in both are
@@ -61,6 +61,18 @@ def apportion(want: list[float], blocks: int, cap: list[int]) -> tuple[list[int]
     return quota, order
 
 
+def word_quotas(want: list[float], cap: list[int]) -> list[int]:
+    """Words that each source gives: within one of its target, and together the rounded sum of all targets.
+
+    Every source gets its whole words, then the words left go one each by highest quotient.
+    """
+    take = [min(int(x), c) for x, c in zip(want, cap, strict=True)]
+    left = round(sum(want)) - sum(take)
+    for i in sorted((i for i in range(len(want)) if take[i] < min(want[i], cap[i])), key=lambda i: (-want[i] / (2 * take[i] + 1), i))[: max(0, left)]:
+        take[i] += 1
+    return take
+
+
 def plan(sizes: list[tuple[str | None, int]], weights, max_repeat: int, max_blocks: int, shards: int, seed: int) -> dict:
     """Targets, quotas and the blocks taken, from the words of each source (sorted, null last)."""
     import xxhash
@@ -69,8 +81,9 @@ def plan(sizes: list[tuple[str | None, int]], weights, max_repeat: int, max_bloc
     total = sum(words)
     block = max(1, -(-total // max_blocks))
     want = targets(words, weights, max_repeat)
-    cap = [-(-max_repeat * n // block) for n in words]
-    quota, order = apportion(want, round(sum(want) / block), cap)
+    give = word_quotas(want, [max_repeat * n for n in words])
+    cap = [-(-x // block) for x in give]  # the last block of each source is partial
+    quota, order = apportion(want, sum(cap), cap)
     run = -(-len(order) // shards) if order else 1
     by_shard = [[0] * len(words) for _ in range(shards)]
     for k, i in enumerate(order):
@@ -79,8 +92,7 @@ def plan(sizes: list[tuple[str | None, int]], weights, max_repeat: int, max_bloc
     for i, (source, n) in enumerate(sizes):
         if not n:
             continue
-        take = min(quota[i] * block, max_repeat * n)
-        passes, rest = divmod(take, n)
+        passes, rest = divmod(give[i], n)
         count = -(-n // block)
         length = [min(block, n - b * block) for b in range(count)]
         got = [0] * count
