@@ -5,7 +5,9 @@ embeddings; a text's vector is their average, and a softmax over it gives the la
 Embeddings and softmax are trained together by stochastic gradient descent (Adagrad steps) in numpy, on the
 driver, from a bounded sample of labelled rows. A temperature fitted on rows set aside makes
 the probabilities calibrated, and a prediction whose probability is below ``reject_below`` is
-rejected. As everything before the softmax is linear, each distinct word has one vector of
+rejected. As the probability only compares the learned languages, a text is also rejected if
+too few of its 4-grams stand in the rows learned from: the least share lies between the shares
+of rows set aside and of the same rows with the letters of each word shuffled. As everything before the softmax is linear, each distinct word has one vector of
 scores, which a task computes once and keeps in a bounded table.
 
 Texts that are null or have no letters get ``und`` with score 0 and are rejected. Rows with
@@ -16,7 +18,7 @@ Repeated rows repeat in the result; extra columns are ignored. Whole texts are r
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ ship(__name__)
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
+WORD_LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 
 
 @dataclass(frozen=True)
@@ -46,6 +49,43 @@ class Settings:
     seed: int = 2
     reject_below: float = 0.4
     table_words: int = 300_000
+    seen_gram: int = 4
+    seen_buckets: int = 1 << 22
+    word_grams: int = 12
+
+
+def seen_grams(words: list[bytes], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the ``seen_gram``-grams of words as one row (-1: none begins there, or its word has no letter), and the columns where words begin."""
+    found, begin = subwords(words, (settings.seen_gram, settings.seen_gram), settings.seen_buckets)
+    lettered = np.array([WORD_LETTER.search(w) is not None for w in words], bool)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    return np.where(np.repeat(lettered, sizes), found[0], -1), begin
+
+
+def seen_counts(words: list[bytes], seen: np.ndarray, settings: Settings) -> np.ndarray:
+    """Seen grams and all grams of each word by the mask ``seen``; a word counts as ``word_grams`` grams at most, so one token decides no text."""
+    found, begin = seen_grams(words, settings)
+    counts = np.add.reduceat(np.stack([seen[found], found >= 0], axis=1).astype(np.float32), begin, axis=0)
+    return counts * np.minimum(1, settings.word_grams / np.maximum(1, counts[:, 1:]))
+
+
+def seen_share(text: bytes, seen: np.ndarray, settings: Settings) -> float:
+    """Share of a text's grams that are seen; nan without grams."""
+    words = text.split()
+    have, total = seen_counts(words, seen, settings).sum(axis=0) if words else (0, 0)
+    return float(have / total) if total else float("nan")
+
+
+def least_seen(texts: list[bytes], seen: np.ndarray, settings: Settings) -> float:
+    """The share of seen grams below which a text is rejected: a third of the way from texts with shuffled letters to ``texts``."""
+    rng = np.random.default_rng(settings.seed)
+    noise = ["".join(w[i] for i in rng.permutation(len(w))) for t in texts for w in [*t.decode("utf-8", "replace").split(), "\n"]]
+    noise = [x.encode() for x in " ".join(w or "\n" for w in noise).split("\n")]
+    good, bad = (np.array([x for x in (seen_share(t, seen, settings) for t in some) if x == x]) for some in (texts, noise))
+    if not len(good) or not len(bad):
+        return 0.0
+    hi, lo = np.quantile(good, 0.01), np.quantile(bad, 0.99)
+    return float(min(hi, lo + (hi - lo) / 3))
 
 
 def subwords(words: list[bytes], grams: tuple[int, int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,13 +108,20 @@ def subwords(words: list[bytes], grams: tuple[int, int], buckets: int) -> tuple[
 
 @dataclass
 class Model:
-    """Scores of each bucket for each language (embedding times softmax weights), offsets, temperature."""
+    """Scores of each bucket for each language (embedding times softmax weights), offsets, temperature, grams seen and their least share."""
 
     langs: list[str]
     scores: np.ndarray
     bias: np.ndarray
     temperature: float
     settings: Settings
+    seen: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    least: float = 0.0
+
+    def seen_mask(self) -> np.ndarray:
+        mask = np.zeros(self.settings.seen_buckets + 1, bool)  # -1: no gram
+        mask[self.seen] = True
+        return mask
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -132,6 +179,9 @@ def train(texts: list[bytes], labels: list[str], settings: Settings) -> Model |
         return -np.log(model.probabilities(logits)[np.arange(len(truth)), truth] + 1e-12).mean()
 
     model.temperature = min(np.geomspace(0.1, 4.0, 33), key=loss)
+    known = np.unique(np.concatenate([np.unique(seen_grams(t.split(), settings)[0]) for t in texts[:fit]]))
+    model.seen = known[known >= 0]
+    model.least = least_seen([texts[i] for i in held], model.seen_mask(), settings)
     return model
 
 
@@ -151,14 +201,20 @@ class WordScores:
         self.model = model
         self.padded = np.zeros((len(model.scores) + 1, len(model.langs) + 1), np.float32)  # -1: no subword
         self.padded[:-1, :-1], self.padded[:-1, -1] = model.scores, 1
+        self.seen = model.seen_mask()
         self.clear()
 
     def clear(self) -> None:
         self.row: dict[bytes, int] = {}
         self.values = np.zeros((0, len(self.model.langs) + 1), np.float32)
+        self.grams = np.zeros((0, 2), np.float32)
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         """Scores and number of subwords of each word."""
+        return self.both(words)[0]
+
+    def both(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and number of subwords of each word; how many grams of it are seen, and how many it has."""
         s = self.model.settings
         if len(self.row) > s.table_words:
             self.clear()
@@ -167,7 +223,7 @@ class WordScores:
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new = list(dict.fromkeys(words[i] for i in missing))
-            parts, lo = [self.values], 0
+            parts, grams, lo = [self.values], [self.grams], 0
             while lo < len(new):
                 hi, size = lo, 0
                 while hi < len(new) and (hi == lo or size + len(new[hi]) < 200_000):
@@ -178,11 +234,12 @@ class WordScores:
                 for own in found[1:]:
                     total += self.padded[own]
                 parts.append(np.add.reduceat(total, begin, axis=0))
+                grams.append(seen_counts(new[lo:hi], self.seen, s))
                 lo = hi
             self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
-            self.values = np.concatenate(parts)
+            self.values, self.grams = np.concatenate(parts), np.concatenate(grams)
             at[missing] = [self.row[words[i]] for i in missing]
-        return self.values[at]
+        return self.values[at], self.grams[at]
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -194,21 +251,24 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         table = WordScores(model) if model else None
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            langs, scores = [], []
+            langs, scores, strange = [], [], []
             for lo, hi in slices(texts):
                 part = [t.split() if model and LETTER.search(t.decode("utf-8", "replace")) else [] for t in texts[lo:hi]]
                 lengths = np.fromiter(map(len, part), np.int64, len(part))
                 if not lengths.sum():
                     langs += [UNKNOWN] * len(part)
                     scores += [0.0] * len(part)
+                    strange += [False] * len(part)
                     continue
-                sums = segment_sums(table.rows([w for words in part for w in words]), lengths)
+                values, grams = table.both([w for words in part for w in words])
+                sums, grams = segment_sums(values, lengths), segment_sums(grams, lengths)
+                strange += (grams[:, 0] < model.least * grams[:, 1]).tolist()
                 p = model.probabilities(sums[:, :-1] / np.maximum(1, sums[:, -1:]) + model.bias)
                 best = p.argmax(axis=1)
                 langs += [model.langs[b] if n else UNKNOWN for b, n in zip(best, lengths, strict=True)]
                 scores += [float(x[b]) if n else 0.0 for x, b, n in zip(p, best, lengths, strict=True)]
             low = model.settings.reject_below if model else 1.0
-            cols = [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([x < low for x in scores], pa.bool_())]
+            cols = [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([x < low or odd for x, odd in zip(scores, strange, strict=True)], pa.bool_())]
             names = ["doc_id", "lang_pred", "score", "rejected"]
             if keep:
                 cols, names = [*cols, batch.column("kept")], [*names, "kept"]
