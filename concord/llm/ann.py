@@ -2,16 +2,24 @@
 
 A bounded sample gives a neighbour graph (largest inner products). Its nodes are split into
 partitions of equal size: balanced halving along principal directions, then balanced label
-propagation over the graph. A classifier with one hidden layer learns, from a vector, in
-which partitions its neighbours lie. Every row is indexed in its most probable partition;
-a query goes to the ``probes`` most probable ones, where its inner products with all rows
-are ranked exactly; the first one's k-th score bounds what the others report. ``probes`` is the smallest number that reaches ``want_recall`` on the
-sample, where every row's true neighbours in the sample are known.
+propagation over the graph. A classifier with one hidden layer learns a vector's partition;
+offsets on its outputs, found on the sample, keep the partitions of the index even. A second
+one, the router, learns in which partitions of that index a vector's neighbours lie. Every
+row is indexed in one partition; a query goes to the ``probes`` most probable ones, where
+its inner products with all rows are ranked exactly. The partitions are asked in rounds,
+most probable first, and the k-th score so far bounds what later rounds report. ``probes``
+is the smallest number that reaches ``want_recall`` on the sample, where every row's true
+neighbours in the sample are known.
+
+The number of partitions grows with the table, from ``least_partitions`` up to one for each
+``rows_per_label`` rows of the sample; then partitions grow. A partition is searched in
+blocks of about ``block_rows`` rows, so its size doesn't matter.
 
-A partition is searched in blocks of about ``block_rows`` rows, so its size doesn't matter.
 Vectors that are null, empty, zero or hold null or non-finite components, rows without an
 id and vectors of another length than most take no part. Of rows that repeat an id the
-smallest vector stays. Ties go to the smaller id. Extra columns are ignored.
+smallest vector stays. Ties go to the smaller id. A query with fewer candidates than k in
+the partitions it is sent to gets fewer ranks. An empty table gives an empty result. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,12 +43,14 @@ class Settings:
 
     sample_rows: int = 6144
     rows_per_partition: int = 1500
-    max_partitions: int = 16
+    least_partitions: int = 8
+    rows_per_label: int = 24
     neighbours: int = 40
     hidden: int = 128
     epochs: int = 20
     rate: float = 0.5
-    want_recall: float = 0.93
+    want_recall: float = 0.95
+    rounds: tuple[int, ...] = (1, 4)
     block_rows: int = 8192
     seed: int = 4
 
@@ -98,7 +108,7 @@ def balanced_partition(x: np.ndarray, graph: np.ndarray, parts: int, rng: np.ran
 
 
 @dataclass
-class Router:
+class Classifier:
     """Softmax over partitions from a hidden layer of rectified units."""
 
     shift: np.ndarray
@@ -106,7 +116,6 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    probes: int
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(((x - self.shift[0]) / self.shift[1]) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
@@ -116,21 +125,23 @@ class Router:
         return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :n]
 
 
-def fit(x: np.ndarray, settings: Settings, rows: int) -> Router:
-    """Partition the sample's neighbour graph and train the router; ``rows`` is the size of the table to be indexed."""
-    rng = np.random.default_rng(settings.seed)
-    parts = int(min(settings.max_partitions, max(1, rows // settings.rows_per_partition), max(1, len(x) // 24)))
-    graph = neighbour_graph(x, settings.neighbours) if len(x) > 1 else np.zeros((len(x), 0), np.int64)
-    label = balanced_partition(x, graph, parts, rng)
-    target = np.zeros((len(x), parts))
-    np.add.at(target, (np.arange(len(x)), label), 1)
-    if graph.shape[1]:
-        np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), label[graph.ravel()]), 1)
-    target /= np.maximum(1, target.sum(axis=1, keepdims=True))
-    scale = x.std() + 1e-12
-    shift = np.stack([x.mean(axis=0), np.full(x.shape[1], scale)])
+@dataclass
+class Index:
+    """``home`` gives the partition a row stands in, ``router`` those to ask, of which ``probes`` are asked."""
+
+    home: Classifier
+    router: Classifier
+    parts: int
+    probes: int
+
+
+def classify(x: np.ndarray, target: np.ndarray, settings: Settings, rng: np.random.Generator) -> Classifier:
+    """Fit ``target``, a row of weights over the partitions for each row of x, by gradient descent with momentum."""
+    parts = target.shape[1]
+    target = target / np.maximum(1, target.sum(axis=1, keepdims=True))
+    shift = np.stack([x.mean(axis=0), np.full(x.shape[1], x.std() + 1e-12)])
     z = (x - shift[0]) / shift[1]
-    r = Router(shift, rng.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], settings.hidden)), np.zeros(settings.hidden), rng.normal(0, settings.hidden**-0.5, (settings.hidden, parts)), np.zeros(parts), parts)
+    r = Classifier(shift, rng.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], settings.hidden)), np.zeros(settings.hidden), rng.normal(0, settings.hidden**-0.5, (settings.hidden, parts)), np.zeros(parts))
     size, steps, done = 64, settings.epochs * -(-len(x) // 64), 0
     speed = {n: np.zeros_like(getattr(r, n)) for n in ("w1", "b1", "w2", "b2")}
     for _ in range(settings.epochs if parts > 1 else 0):
@@ -147,15 +158,49 @@ def fit(x: np.ndarray, settings: Settings, rows: int) -> Router:
             for n, g in (("w2", h.T @ p), ("b2", p.sum(axis=0)), ("w1", z[own].T @ back), ("b1", back.sum(axis=0))):
                 speed[n] = 0.9 * speed[n] + g
                 setattr(r, n, getattr(r, n) - rate * speed[n])
-    # a row stands in its first partition; a neighbour is found if that is among those probed
-    home = r.ranking(x, 1)[:, 0]
+    return r
+
+
+def even_offsets(logits: np.ndarray, steps: int = 400) -> np.ndarray:
+    """Offsets to add to ``logits`` so that as many rows as can be fall to each partition."""
+    n, parts = logits.shape
+    off, best, least = np.zeros(parts), np.zeros(parts), n + 1
+    for k in range(steps):
+        load = np.bincount((logits + off).argmax(axis=1), minlength=parts)
+        if load.max() < least:
+            best, least = off.copy(), load.max()
+        off -= (1 - k / steps) * 0.5 * np.log((load + 1) / (n / parts + 1))
+    return best
+
+
+def fit(x: np.ndarray, settings: Settings, rows: int) -> Index:
+    """Partition the sample's neighbour graph and fit the index; ``rows`` is the size of the table to be indexed."""
+    rng = np.random.default_rng(settings.seed)
+    parts = int(max(1, min(max(settings.least_partitions, rows // settings.rows_per_partition), len(x) // settings.rows_per_label)))
+    graph = neighbour_graph(x, settings.neighbours) if len(x) > 1 else np.zeros((len(x), 0), np.int64)
+    label = balanced_partition(x, graph, parts, rng)
+    each = np.arange(len(x))
+
+    def votes(label, own):
+        target = np.zeros((len(x), parts))
+        np.add.at(target, (each, label), own)
+        if graph.shape[1]:
+            np.add.at(target, (np.repeat(each, graph.shape[1]), label[graph.ravel()]), 1)
+        return target
+
+    home = classify(x, votes(label, graph.shape[1] or 1), settings, rng)
+    home.b2 = home.b2 + even_offsets(home.logits(x))
+    stands = home.ranking(x, 1)[:, 0]
+    router = classify(x, votes(stands, 1), settings, rng)
+    # a row stands in its home; a neighbour is found if that is among the partitions asked
     truth = neighbour_graph(x, 20) if len(x) > 1 else graph
-    rank = np.argsort(r.ranking(x, parts), axis=1)
+    rank = np.argsort(router.ranking(x, parts), axis=1)
+    probes = parts
     for n in range(1, parts + 1):
-        if not truth.shape[1] or (np.take_along_axis(rank, home[truth], 1) < n).mean() >= settings.want_recall:
-            r.probes = n
+        if not truth.shape[1] or (np.take_along_axis(rank, stands[truth], 1) < n).mean() >= settings.want_recall:
+            probes = n
             break
-    return r
+    return Index(home, router, parts, probes)
 
 
 def _search(k: int):
@@ -187,36 +232,47 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, settings: Settings = S
     sample = bounded_sample(base, [F.lit(settings.seed), "vec_id"], settings.sample_rows)
     if not sample:
         return base.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    router = fit(np.unique(np.array([r["v"] for r in sample]), axis=0), settings, count)
-    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    fitted = fit(np.unique(np.array([r["v"] for r in sample]), axis=0), settings, count)
 
-    def route(n):
+    def route(chosen, n):
         def run(batches):
             for b in batches:
                 if b.num_rows:
-                    best = router.ranking(matrix(b.column("v")), n).astype(np.int32)
+                    best = chosen.ranking(matrix(b.column("v")), n).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(list(best), pa.list_(pa.int32()))], ["vec_id", "v", "parts"])
 
         return run
 
     routed = "vec_id long, v array<double>, parts array<int>"
-    index = candidates(base, k).mapInArrow(route(1), routed).select("vec_id", "v", F.col("parts")[0].alias("part"))
+    index = candidates(base, k).mapInArrow(route(fitted.home, 1), routed).select("vec_id", "v", F.col("parts")[0].alias("part"))
     index = written(index, "index")
     sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # a row a partition
-    blocks = F.element_at(F.array(*[F.lit(-(-sizes.get(p, 0) // settings.block_rows)) for p in range(len(router.b2))]), F.col("part") + 1)
+    blocks = F.element_at(F.array(*[F.lit(-(-sizes.get(p, 0) // settings.block_rows)) for p in range(fitted.parts)]), F.col("part") + 1)
     none = F.lit(float("-inf"))
-    held = written(index.withColumn("blocks", blocks).select("part", block.alias("block"), F.lit(0).alias("kind"), "vec_id", "v", none.alias("bound")), "blocks")
-    routes = written(base.where(F.col("vec_id") % every == 0).mapInArrow(route(router.probes), routed), "routes")
+    block = F.pmod(F.xxhash64("vec_id"), blocks).cast("int")
+    held = index.select("part", block.alias("block"), F.lit(0).alias("kind"), "vec_id", "v", none.alias("bound"))
+    routes = written(base.where(F.col("vec_id") % every == 0).mapInArrow(route(fitted.router, fitted.probes), routed), "routes")
     task = in_blocks(_search(k), keys=2)
 
     def find(asked):
         each = asked.withColumn("blocks", blocks).where("blocks > 0").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "vec_id", "v", "bound")
         return held.union(each).repartition("part", "block").sortWithinPartitions("part", "block", "kind").mapInArrow(task, HITS)
 
-    # the most probable partition first; its k-th score bounds what the others need to report
-    home = written(find(routes.select("vec_id", "v", F.col("parts")[0].alias("part"), none.alias("bound"))), "home-hits")
-    if router.probes == 1:
-        return ranked(home, k, F.col("score"))
-    best = home.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") == k).select("query_id", F.col("score").alias("b"))
-    rest = routes.join(best, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.explode(F.slice("parts", 2, router.probes)).alias("part"), F.coalesce("b", none).alias("bound"))
-    return ranked(home.union(find(rest)), k, F.col("score"))
+    found, at = None, 0
+    for width in (*settings.rounds, fitted.probes):
+        if at >= fitted.probes:
+            break
+        asked = routes.withColumn("bound", none)
+        if found is not None:
+            order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            found = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+            worst = found.where(F.col("_n") == k).select("query_id", F.col("score").alias("b"))
+            asked = routes.join(worst, F.col("vec_id") == F.col("query_id"), "left").withColumn("bound", F.coalesce("b", none))
+            found = found.drop("_n")
+        width = min(width, fitted.probes - at)
+        hits = find(asked.select("vec_id", "v", F.explode(F.slice("parts", at + 1, width)).alias("part"), "bound"))
+        at += width
+        found = hits if found is None else found.union(hits)
+        if at < fitted.probes:
+            found = written(found, "hits")
+    return ranked(found, k, F.col("score"))

@@ -268,11 +268,18 @@ def test_ann_recall_scores_and_ties(odd_vectors):
         assert all(known[i] == pytest.approx(s, abs=1e-12) for _, i, s in v if i in known)
 
 
-def test_ann_recall_on_table(spark, sf_dir):
+@pytest.mark.parametrize("per_partition", [None, 60])
+def test_ann_recall_on_table(per_partition, spark, sf_dir):
+    """Recall against brute force with production settings, and with as many partitions as a far larger table has."""
     df = spark.read.parquet(sf_dir.replace("0.001", "0.1") + "/embeddings.parquet")
-    found = {(r["query_id"], r["vec_id"]) for r in ann.search(df).collect()}
+    settings = ann.Settings(**({"rows_per_partition": per_partition} if per_partition else {}))
     rows = df.orderBy("vec_id").collect()
     x, ids = np.array([r["embedding"] for r in rows], np.float64), np.array([r["vec_id"] for r in rows])
+    fitted = ann.fit(x, settings, len(x))
+    assert fitted.parts == (2000 // per_partition if per_partition else 8) and fitted.probes < fitted.parts
+    load = np.bincount(fitted.home.ranking(x, 1)[:, 0], minlength=fitted.parts)
+    assert load.max() <= 1.6 * load.mean() and load.min() >= 0.4 * load.mean()
+    found = {(r["query_id"], r["vec_id"]) for r in ann.search(df, settings=settings).collect()}
     hit = total = 0
     for k in np.flatnonzero(ids % 20 == 0):
         s = x @ x[k]
@@ -283,6 +290,23 @@ def test_ann_recall_on_table(spark, sf_dir):
     assert hit / total >= 0.9
 
 
+def test_ann_asks_few_partitions_of_clustered_vectors(spark):
+    """Where neighbours do lie together, less than half of the partitions are asked."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16))
+    x = centres[rng.integers(0, 60, 3000)] + 0.15 * rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    settings = ann.Settings(rows_per_partition=150)
+    fitted = ann.fit(x, settings, len(x))
+    assert fitted.parts == 20 and fitted.probes <= 8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {(r["query_id"], r["vec_id"]) for r in ann.search(df, settings=settings).collect()}
+    s = x[::20] @ x.T
+    s[np.arange(len(s)), np.arange(0, 3000, 20)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([(20 * q, int(i)) in found for q, row in enumerate(best) for i in row]) >= 0.9
+
+
 def test_ann_partitions_are_balanced():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 6))
