@@ -90,6 +90,26 @@ def bounded_sample(rows: DataFrame, key: list, n: int) -> list:
     return hashed.orderBy("_h", *[c for c in rows.columns]).limit(n).collect()
 
 
+def bounded_sample_by(rows: DataFrame, group: str, key: list, n: int) -> list:
+    """At most n rows of each value of ``group``, those with the smallest hash of ``key``; any part of the list holds all values in about their shares.
+
+    Counts by value, one row each, first give a bound on the hash, so that only about n rows of a value are shuffled.
+    """
+    from pyspark.sql import Window
+
+    counts = rows.groupBy(group).count().collect()
+    if not counts:
+        return []
+    share = {r[group]: (n + 4 * n**0.5 + 16) / r["count"] for r in counts}
+    top = {g: int(-(1 << 63) + x * (1 << 64)) if x < 0.9 else (1 << 63) - 1 for g, x in share.items()}
+    bound = F.element_at(F.create_map(*[F.lit(x) for kv in top.items() for x in kv]), F.col(group))
+    few = rows.withColumn("_h", F.xxhash64(*key)).where(F.col("_h") <= bound)
+    order = Window.partitionBy(group).orderBy("_h", *rows.columns)
+    got = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).collect()
+    size = {r[group]: min(n, r["count"]) for r in counts}
+    return sorted(got, key=lambda r: (r["_n"] / size[r[group]], r["_h"]))
+
+
 def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of consecutive segments of rows; empty segments give zero."""
     total = np.zeros((len(values) + 1, *values.shape[1:]), dtype=np.float64)

@@ -3,16 +3,19 @@
 A word's subwords are its character n-grams with word ends marked, hashed into a table of
 embeddings; a text's vector is their average, and a softmax over it gives the languages.
 Embeddings and softmax are trained together by stochastic gradient descent (Adagrad steps) in numpy, on the
-driver, from a bounded sample of labelled rows. A temperature fitted on rows set aside makes
-the probabilities calibrated, and a prediction whose probability is below ``reject_below`` is
+driver, from ``train_rows`` labelled rows of each language (all it has, if fewer), however long. A temperature
+fitted on rows set aside makes the probabilities calibrated, and a prediction whose probability is below ``reject_below`` is
 rejected. As the probability only compares the learned languages, a text is also rejected if
 too few of its 4-grams stand in the rows learned from: the least share lies between the shares
 of rows set aside and of the same rows with the letters of each word shuffled. As everything before the softmax is linear, each distinct word has one vector of
 scores, which a task computes once and keeps in a bounded table.
 
-Texts that are null or have no letters get ``und`` with score 0 and are rejected. Rows with
-a null label are never learned from. Without any labelled row every text is ``und``.
-Repeated rows repeat in the result; extra columns are ignored. Whole texts are read.
+Texts that are null or have no letters (characters of Unicode's letter categories; number
+signs such as ½ or Ⅷ are none) get ``und`` with score 0 and are rejected. Rows with a null
+label are never learned from. Without any labelled row every text is ``und``. Languages of
+equal probability: the first by code point. Repeated rows repeat in the result, an empty
+table gives an empty one, and extra columns are ignored, whatever their names. Whole texts
+are read, however long, in slices.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import bounded_sample, segment_sums, ship, slices, texts_of
+from concord.llm.common import bounded_sample_by, segment_sums, ship, slices, texts_of
 
 ship(__name__)
 
@@ -34,16 +37,27 @@ LETTER = re.compile(r"[^\W\d_]")
 WORD_LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; LETTER also finds number signs."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 @dataclass(frozen=True)
 class Settings:
-    """``train_rows`` labelled rows of at most ``train_bytes`` bytes each bound the sample; a fifth of it is for calibration."""
+    """``train_rows`` labelled rows a language bound the sample; a fifth of it is for calibration.
+
+    Of a sampled text of more than ``train_words`` words that many are learned from, evenly spread
+    over the whole text, and of a word its first ``train_chars`` characters.
+    """
 
-    train_rows: int = 1500
-    train_bytes: int = 20_000
+    train_rows: int = 400
+    train_words: int = 2000
+    train_chars: int = 40
     buckets: int = 1 << 14
     dim: int = 12
     grams: tuple[int, int] = (1, 4)
     epochs: int = 4
+    least_steps: int = 300
     batch: int = 16
     rate: float = 0.05
     seed: int = 2
@@ -143,12 +157,14 @@ def train(texts: list[bytes], labels: list[str], settings: Settings) -> Model |
         used = np.flatnonzero(counts)
         bags.append((used, counts[used] / max(1.0, counts.sum())))
     fit = max(1, len(bags) * 4 // 5)
+    weight = len(y) / (len(langs) * np.bincount(y, minlength=len(langs)))  # a language counts alike, however many rows it has
     emb = rng.normal(0, 0.1, (settings.buckets, settings.dim)).astype(np.float32)
     out = np.zeros((settings.dim, len(langs)), np.float32)
     bias = np.zeros(len(langs), np.float32)
     square, emb_square = {}, np.zeros_like(emb)
-    steps, done = settings.epochs * -(-fit // settings.batch), 0
-    for _ in range(settings.epochs):
+    epochs = max(settings.epochs, -(-settings.least_steps * settings.batch // fit))
+    steps, done = epochs * -(-fit // settings.batch), 0
+    for _ in range(epochs):
         order = rng.permutation(fit)
         for lo in range(0, fit, settings.batch):
             rate = settings.rate * (1 - done / steps)
@@ -159,14 +175,14 @@ def train(texts: list[bytes], labels: list[str], settings: Settings) -> Model |
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
-            p /= len(rows)
+            p *= (weight[y[rows]] / len(rows))[:, None].astype(np.float32)
             back = p @ out.T
             for x_, g in ((out, x.T @ p), (bias, p.sum(axis=0))):
                 square[id(x_)] = square.get(id(x_), 0) + g * g
                 x_ -= rate * g / (np.sqrt(square[id(x_)]) + 1e-6)
             for g, i in zip(back, rows, strict=True):
-                used, weight = bags[i]
-                step = weight[:, None] * g
+                used, part = bags[i]
+                step = part[:, None] * g
                 emb_square[used] += step * step
                 emb[used] -= rate * step / (np.sqrt(emb_square[used]) + 1e-6)
     model = Model(langs, emb @ out, bias, 1.0, settings)
@@ -186,11 +202,14 @@ def train(texts: list[bytes], labels: list[str], settings: Settings) -> Model |
 
 
 def fit(docs: DataFrame, where: Column, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Train on at most ``train_rows`` labelled rows of those that ``where`` admits, chosen by a hash of id and text."""
-    rows = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(F.octet_length(text_col) <= settings.train_bytes)
-    rows = rows.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("y"))
-    got = bounded_sample(rows, [F.lit(settings.seed), "i", "t"], settings.train_rows)
-    got = [r for r in got if LETTER.search(r["t"])]
+    """Train on the rows that ``where`` admits, at most ``train_rows`` of each language, chosen by a hash of id and text."""
+    rows = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("y"), F.xxhash64(F.col(text_col).cast("string")).alias("k"))
+    # each of these is computed once a row: a lambda that held the split would repeat it for every word
+    rows = rows.withColumn("w", F.split("t", r"[\x20\x09-\x0D]+")).withColumn("step", F.greatest(F.lit(1), F.ceil(F.size("w") / settings.train_words)))
+    cut = F.transform(F.filter("w", lambda w, i: i % F.col("step") == 0), lambda w: F.substring(w, 1, settings.train_chars))
+    got = bounded_sample_by(rows.select("i", "k", "y", F.array_join(cut, " ").alias("t")), "y", [F.lit(settings.seed), "i", "k"], settings.train_rows)
+    got = [r for r in got if has_letter(r["t"])]
     return train([r["t"].encode() for r in got], [r["y"] for r in got], settings)
 
 
@@ -253,7 +272,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             texts = texts_of(batch.column("text"))
             langs, scores, strange = [], [], []
             for lo, hi in slices(texts):
-                part = [t.split() if model and LETTER.search(t.decode("utf-8", "replace")) else [] for t in texts[lo:hi]]
+                part = [t.split() if model and has_letter(t.decode("utf-8", "replace")) else [] for t in texts[lo:hi]]
                 lengths = np.fromiter(map(len, part), np.int64, len(part))
                 if not lengths.sum():
                     langs += [UNKNOWN] * len(part)

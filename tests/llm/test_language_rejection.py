@@ -30,3 +30,25 @@ def test_language_rejects_other_languages_and_noise(spark, sf_dir):
     assert all(r["rejected"] for r in language_id.predict(odd, model).collect())
     clean = language_id.predict(docs, model).where("lang_pred <> 'und'").collect()
     assert np.mean([r["rejected"] for r in clean]) < 0.005
+
+
+def test_long_rows_and_rare_languages_are_learned(spark):
+    """Rows of one language that are all long, and a language with a few rows among very many of another."""
+    rng = np.random.default_rng(0)
+    words = {x: ["".join(rng.choice(list(letters), 5)) for _ in range(200)] for x, letters in (("la", "aeiouqv"), ("en", "thsrnd"), ("xx", "kwyzjb"))}
+    say = lambda x, n: " ".join(rng.choice(words[x], n))
+    rows = [(i, say("la", 6000), "la") for i in range(60)] + [(100 + i, say("en", 60), "en") for i in range(3000)] + [(5000 + i, say("xx", 40), "xx") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, F.lit(True), language_id.Settings(train_rows=200))
+    assert model.langs == ["en", "la", "xx"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(df, model).collect()}
+    assert np.mean([got[i] == y for i, _, y in rows]) > 0.99 and all(got[i] == y for i, _, y in rows if y != "en")
+
+
+def test_signs_are_no_letters_and_ties_go_to_the_first_language(spark):
+    model = language_id.train([b"alpha beta", b"gamma delta"] * 4, ["b", "a"] * 4, language_id.Settings(epochs=1))
+    odd = spark.createDataFrame(list(enumerate(["½", "² ① Ⅷ", "12 _ --", "é", "日本"])), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(odd, model).collect()}
+    assert [got[i] for i in range(3)] == [("und", 0.0)] * 3 and got[3][0] != "und" and got[4][0] != "und"
+    model.scores[:], model.bias[:] = 0, 0
+    assert all(r["lang_pred"] == "a" and r["score"] == 0.5 for r in language_id.predict(odd.where("doc_id > 2"), model).collect())
