@@ -12,7 +12,8 @@ Components follow from alternating large-star and small-star steps over those li
 
 A null or empty text has no words and the fingerprint zero, which links like any other.
 Rows with a null id take part; a component of such rows alone has the id null. Repeated
-rows repeat in the result. Extra columns are ignored.
+rows repeat in the result. An empty table gives an empty result. Whole texts are read, one
+at a time, however long. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import ship, slices, texts_of, written
+from concord.llm.common import row_key, ship, texts_of, written
 
 ship(__name__)
 
@@ -40,7 +41,11 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    h = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """64 bits, each 1 if set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(h), 4096):
         part = h[lo : lo + 4096]
@@ -49,16 +54,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; one pass without a shuffle."""
+    """doc_id, text_key and fp (the fingerprint as a signed long) of every row; one pass without a shuffle."""
 
     def run(batches):
         for batch in batches:
             texts = texts_of(batch.column("text"))
             fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fps.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def _find(parent: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -221,21 +226,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2, group_limit: int = 4096) -> DataFrame:
-    """doc_id, fp, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links of at most ``budget`` bits."""
+    """doc_id, text_key, fp, fingerprint (16 hex digits), root (a fingerprint of the component) and component_id, the smallest doc_id reachable over links of at most ``budget`` bits."""
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(links(distinct, budget, group_limit))
     root = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = root.join(best, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return fps.join(label, F.col("fp") == F.col("_fp")).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    label = root.join(best, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
+    return fps.join(label, F.col("fp") == F.col("_fp")).select("doc_id", "text_key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stand for their near-duplicate group (its smallest doc_id); rows without an id stay."""
+def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``classes`` (doc_id, text_key, root): that of the smallest doc_id (null last), then of the smallest text_key.
+
+    Texts that share an id are told apart by their text; of rows equal in both the one with the smallest hash of all columns stays.
+    """
     from pyspark.sql import Window
 
-    keep = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(keep, F.col(id_col).cast("long") == F.col("_id"))
-    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(F.lit(0)))).where("_n = 1")
-    return once.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("m")
+    keep = classes.groupBy("root").agg(first).select(F.col("m.doc_id").alias("_id"), F.col("m.text_key").alias("_key"))
+    own = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in docs.columns])))
+    rows = docs.select(*docs.columns, own.alias("_own")).join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_key")))
+    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_own"))).where("_n = 1")
+    return once.select(*docs.columns)

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from concord.llm import language_id, mixing
 from concord.llm.queries import tokenizer_path
-from tests.llm.test_text_operators import WORD, brute_components, brute_fingerprint
+from tests.llm.test_near_copies import brute_roots
+from tests.llm.test_text_operators import WORD
 
 
 def language_by_hand(rows, model):
     """Ids that stay: each text's subwords averaged one document at a time."""
     s, kept = model.settings, []
     for i, text in rows:
-        if not text or not language_id.LETTER.search(text):
+        if not text or not language_id.has_letter(text):
             continue
         found = language_id.subwords(text.encode().split(), s.grams, s.buckets)[0]
         p = model.probabilities(model.scores[found[found >= 0]].mean(axis=0, dtype=np.float64)[None] + model.bias)
@@ -50,10 +51,10 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     assert sorted(r["doc_id"] for r in one.collect()) == sorted(language_by_hand(rows, model))
 
     two = corpus_pipeline.written(stages["near_duplicates"](spark, one, sf_dir), "t")
-    fps = {r["doc_id"]: brute_fingerprint(r["text"]) for r in one.collect()}
-    root, least = brute_components(list(fps.values()), 2), {}
-    for i, f in fps.items():
-        least[root[f]] = min(i, least.get(root[f], i))
+    least = {}  # five-word shingles at a similarity of 0.8, as the contract asks of a stage; op3's two bits bind op3 alone
+    texts = sorted((r["doc_id"], r["text"]) for r in one.collect())
+    for (i, _), r in zip(texts, brute_roots(texts), strict=True):
+        least[r] = min(i, least.get(r, i))
     assert sorted(r["doc_id"] for r in two.collect()) == sorted(least.values())
 
     three = corpus_pipeline.written(stages["repeated_passages"](spark, two, sf_dir), "t")
