@@ -118,19 +118,25 @@ def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
+def hash_range(h: str, buckets: int):
+    """Which of ``buckets`` equal ranges of the longs a hash falls in; follows the hash's order."""
+    return F.least(F.floor((F.col(h) / float(1 << 64) + 0.5) * buckets), F.lit(buckets - 1)).cast("int")
+
+
 def numbered(df: DataFrame, groups: list[str], order: list[str], size: str | None, seed: int, rows_per_bucket: int = 20_000) -> DataFrame:
     """Add ``rank`` (gapless from 0) and, with ``size``, ``start`` (sum of the sizes before), by group.
 
-    A group may hold any share of the rows: it is dealt into hashed buckets of about
-    ``rows_per_bucket`` rows, bucket totals are summed first, and only a bucket is ever
-    ordered in one task. The order within a group is bucket, then hash, then ``order``.
+    A group may hold any share of the rows: it is dealt into buckets by ranges of a hash, of
+    about ``rows_per_bucket`` rows, bucket totals are summed first, and only a bucket is ever
+    ordered in one task. The order within a group is that of the hash, then ``order``,
+    whatever the number of buckets.
     """
     from pyspark.sql import Window
 
     h = F.xxhash64(F.lit(seed), *[F.col(c) for c in order])
     rows = df.count()
     buckets = max(1, rows // rows_per_bucket)
-    dealt = df.withColumn("_h", h).withColumn("_b", F.pmod(F.shiftright("_h", 7), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn("_h", h).withColumn("_b", hash_range("_h", buckets))
     sums = [F.count("*").alias("_n")] + ([F.sum(size).alias("_s")] if size else [])
     totals = dealt.groupBy(*groups, "_b").agg(*sums)
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,15 +4,17 @@ Documents with equal texts are linked. As all copies of a text have one size, a
 state is how many of its copies stand in each shard: a row a group and shard, never the
 pairs. Copies start in hashed shards. In each round a join gives every group the shard
 where most of its copies stand; its copies elsewhere ask to move there, and each shard
-admits movers, those that save most edges first, up to its capacity quota of bytes. The
-quota is dealt to hashed slots, so that no task ranks all movers. A group larger than a
-shard fills one after another. When rounds no longer move anything, what exceeds a shard's
-capacity is given up, the largest loose documents are placed by size on the emptiest shards
-and the rest fills what is free, so sizes are near equal.
+admits movers, those that save most edges first, up to its capacity quota of bytes. Bytes
+are summed by edges saved and hashed bucket before movers are ranked inside a bucket, so no
+task ranks all movers and the result is that of one global order, whatever the number of
+rows. A group larger than a shard fills one after another. When rounds no longer move
+anything, what exceeds a shard's capacity is given up, the largest loose documents are placed
+by size on the emptiest shards and the rest fills what is free, so sizes are near equal.
 
 A null text counts as the empty text for size and checksum. Null ids and repeated rows are
-ordinary rows. With fewer documents than shards some shards stay empty. Extra columns are
-ignored.
+ordinary rows; equal texts tie by id, then by hash. With fewer documents than shards some
+shards stay empty; an empty table gives an empty result. Texts are only measured and
+hashed, so a very long one is a large size. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import numbered, ship, written
+from concord.llm.common import hash_range, numbered, ship, written
 
 ship(__name__)
 
@@ -37,21 +39,26 @@ def _of(values: list[int], shard: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), shard.cast("int") + 1)
 
 
-def _admit(asks: DataFrame, room: list[int], slots: int, order: list) -> DataFrame:
-    """Add ``go``, how many of a row's n copies shard ``to`` has room for when rows come in ``order``."""
-    slot = F.pmod(F.xxhash64("grp"), F.lit(slots))
-    by = Window.partitionBy("to", "slot").orderBy(*order, "grp", "shard")
-    dealt = asks.withColumn("slot", slot).withColumn("bytes", F.col("n") * F.col("size"))
-    before = F.sum("bytes").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
-    left = _of([max(0, r) // slots for r in room], F.col("to")) - before
-    return dealt.withColumn("go", F.greatest(F.lit(0), F.least(F.col("n"), F.floor(left / F.col("size")))).cast("long"))
+def _admit(asks: DataFrame, room: list[int], saves: Column, buckets: int) -> DataFrame:
+    """Add ``go``, how many of a row's n copies shard ``to`` has room for when those that save most come first (ties by hash)."""
+    h = F.xxhash64("grp", "shard")
+    dealt = asks.withColumns({"saves": saves.cast("long"), "_h": h, "bytes": F.col("n") * F.col("size")}).withColumn("_b", hash_range("_h", buckets))
+    cells = dealt.groupBy("to", "saves", "_b").agg(F.sum("bytes").alias("s"))
+    above = F.sum("s").over(Window.partitionBy("to").orderBy(F.desc("saves"), "_b").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select(F.col("to").alias("_to"), F.col("saves").alias("_saves"), F.col("_b").alias("_bb"), F.coalesce(above, F.lit(0)).alias("above"))
+    inside = Window.partitionBy("to", "saves", "_b").orderBy("_h", "grp", "shard").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.withColumn("before", F.sum("bytes").over(inside) - F.col("bytes"))
+    ranked = ranked.join(cells, (F.col("to") == F.col("_to")) & (F.col("saves") == F.col("_saves")) & (F.col("_b") == F.col("_bb")))
+    left = _of([max(0, r) for r in room], F.col("to")) - F.col("above") - F.col("before")
+    go = F.greatest(F.lit(0), F.least(F.col("n"), F.floor(left / F.col("size")))).cast("long")
+    return ranked.withColumn("go", go).drop("saves", "_h", "_b", "bytes", "_to", "_saves", "_bb", "above", "before")
 
 
 def _merge(cells: DataFrame) -> DataFrame:
     return cells.where("n > 0").groupBy("grp", "size", "shard").agg(F.sum("n").alias("n"))
 
 
-def propagate(cells: DataFrame, capacity: int, shards: int, rounds: int, slots: int) -> DataFrame:
+def propagate(cells: DataFrame, capacity: int, shards: int, rounds: int, buckets: int = 1) -> DataFrame:
     """Move copies (grp, size, shard, n) to shards with room where more of their group stand."""
     for _ in range(rounds):
         room = [capacity - x for x in _loads(cells, shards)]
@@ -60,7 +67,7 @@ def propagate(cells: DataFrame, capacity: int, shards: int, rounds: int, slots:
         hub = cells.groupBy("grp").agg(F.max(rank).alias("hub")).where("hub is not null").select("grp", F.col("hub.shard").alias("to"), F.col("hub.n").alias("most"))
         all_ = cells.join(hub, "grp", "left")
         asks = (F.col("to") != F.col("shard")) & (F.col("n") <= F.col("most"))
-        movers = _admit(all_.where(asks), room, slots, [F.desc(F.col("n") + F.col("most"))])
+        movers = _admit(all_.where(asks), room, F.col("n") + F.col("most"), buckets)
         stays = all_.where(~F.coalesce(asks, F.lit(False))).select("grp", "size", "shard", "n")
         left = movers.select("grp", "size", "shard", (F.col("n") - F.col("go")).alias("n"))
         came = movers.select("grp", "size", F.col("to").alias("shard"), F.col("go").alias("n"))
@@ -105,12 +112,14 @@ def _fill(small: DataFrame, loads: list[int], capacity: int, seed: int) -> DataF
     return full.select("grp", "size", F.col("c.shard").cast("int").alias("shard"), F.col("c.n").cast("long").alias("n"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 20, fine: int = 400, seed: int = 1, slot_groups: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 20, fine: int = 400, seed: int = 1, bucket_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null), group (digest of the text).
 
     ``fine``: loose documents above a shard's capacity divided by it are placed one by one
-    by the driver; there can be at most shards * fine of these. ``slot_groups``: groups to
-    rank in one task.
+    by the driver; there can be at most shards * fine of these, at any size of the table. They
+    are what decides how even the shards can be: dealt like the small ones, each may end a
+    shard's share beyond its capacity by its whole size. ``bucket_rows``: rows that are ranked
+    in one task.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -118,15 +127,15 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 20, fine: i
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("grp"))
     base = written(base, "shard-documents")
     total, count = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    capacity, slots = -(-total // shards), max(1, count // slot_groups)
+    capacity, buckets = -(-total // shards), max(1, count // bucket_rows)
     groups = written(base.groupBy("grp", "size").agg(F.count("*").alias("copies")), "groups")
     k = F.explode(F.sequence(F.lit(0), F.least(F.col("copies"), F.lit(shards)).cast("int") - 1)).alias("k")
     start = groups.where("copies > 1").select("grp", "size", "copies", k)
     shard = F.pmod(F.xxhash64("grp", F.lit(seed)) + F.col("k"), F.lit(shards)).cast("int").alias("shard")
     n = (F.floor((F.col("copies") - 1 - F.col("k")) / shards) + 1).cast("long").alias("n")
-    cells = propagate(written(start.select("grp", "size", shard, n), "cells"), capacity, shards, rounds, slots)
+    cells = propagate(written(start.select("grp", "size", shard, n), "cells"), capacity, shards, rounds, buckets)
     if max(_loads(cells, shards)) > capacity:
-        kept = _admit(cells.withColumn("to", F.col("shard")), [capacity] * shards, slots, [F.desc("n")])
+        kept = _admit(cells.withColumn("to", F.col("shard")), [capacity] * shards, F.col("n"), buckets)
         cells = written(kept.select("grp", "size", "shard", F.col("go").alias("n")).where("n > 0"), "cells")
     held = cells.groupBy("grp").agg(F.sum("n").alias("held"))
     loose = groups.join(held, "grp", "left").select("grp", "size", (F.col("copies") - F.coalesce("held", F.lit(0))).alias("n"))
@@ -135,13 +144,14 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 20, fine: i
     by_hand = spark.createDataFrame(_place_large(loose, loads, large), "grp string, size long, shard int, n long")
     filled = _fill(loose.where(F.col("size") <= large), loads, capacity, seed)
     cells = _merge(cells.select("grp", "size", "shard", "n").union(by_hand).union(filled))
-    # a group's k-th document goes to the cell whose range of ranks holds k
+    # a group's k-th document goes to the cell whose range of ranks holds k; where all stand in one cell no rank is needed
     ranges = cells.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("cells"))
     upto = F.aggregate("cells", F.array().cast("array<bigint>"), lambda acc, c: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + c["n"])))
     ranges = written(ranges.select(F.col("grp").alias("_grp"), "cells", upto.alias("upto")), "ranges")  # so that the join below reads two plain shuffles, which Spark splits where a group is hot
-    ranked = numbered(base, ["grp"], ["doc_id"], None, seed).withColumnRenamed("rank", "copy")
-    placed = ranked.join(ranges, F.col("grp") == F.col("_grp"))
+    split = written(base.join(ranges, F.col("grp") == F.col("_grp")).select("doc_id", "size", "text_crc32", "grp", "cells", "upto"), "split")
+    whole = split.where(F.size("cells") == 1).select("doc_id", "size", "text_crc32", "grp", F.get("cells", F.lit(0))["shard"].alias("shard"))
+    ranked = numbered(split.where(F.size("cells") > 1), ["grp"], ["doc_id"], None, seed).withColumnRenamed("rank", "copy")
     at = F.size(F.filter("upto", lambda x: x <= F.col("copy")))
-    placed = placed.select("doc_id", "size", "text_crc32", "grp", F.get("cells", at)["shard"].alias("shard"))
+    placed = whole.union(ranked.select("doc_id", "size", "text_crc32", "grp", F.get("cells", at)["shard"].alias("shard")))
     out = numbered(placed, ["shard"], ["doc_id", "grp"], None, seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("grp").alias("group"))

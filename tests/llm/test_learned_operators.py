@@ -53,6 +53,70 @@ def test_sharding_keeps_copies_together_but_for_capacity(spark):
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in got} == {(r["doc_id"], r["shard"], r["slot"]) for r in again}
 
 
+def by_hand(groups, capacity, shards, rounds, seed_cells):
+    """Label propagation one group at a time, in plain Python."""
+    cells = Counter(seed_cells)
+    for _ in range(rounds):
+        load = Counter()
+        for (g, s), n in cells.items():
+            load[s] += n * groups[g]
+        room = {s: capacity - load[s] for s in range(shards)}
+        hub = {}
+        for (g, s), n in cells.items():
+            if room[s] >= groups[g] and n:
+                hub[g] = max(hub.get(g, (0, -1)), (n, s))
+        asks = sorted(((n + hub[g][0], g, s) for (g, s), n in cells.items() if n and g in hub and s != hub[g][1] and n <= hub[g][0]), key=lambda x: (-x[0], x[1], x[2]))
+        after, used = Counter(cells), Counter()
+        for _, g, s in asks:
+            to, n = hub[g][1], cells[g, s]
+            go = max(0, min(n, (room[to] - used[to]) // groups[g]))
+            used[to] += n * groups[g]
+            after[g, s] -= go
+            after[g, to] += go
+        after = Counter({k: n for k, n in after.items() if n})
+        if after == cells:
+            break
+        cells = after
+    return cells
+
+
+def cut_edges(copies):
+    """Links between equal texts that end in different shards, of a group's copies by shard."""
+    n = sum(copies)
+    return (n * n - sum(c * c for c in copies)) // 2
+
+
+@pytest.mark.parametrize("buckets", [1, 90])
+def test_propagation_keeps_as_many_links_as_a_plain_one(spark, buckets):
+    """Cut edges and split groups of the joins, however many buckets the movers are dealt to, against one loop over all groups."""
+    rng = np.random.default_rng(2)
+    size = {f"g{i:04}": int(rng.integers(20, 400)) for i in range(400)}
+    start = Counter({("hot", s): 60 for s in range(10)})
+    size["hot"] = 100
+    for g in list(size)[:-1]:
+        for s in rng.integers(0, 10, int(rng.integers(2, 6))):
+            start[g, int(s)] += 1
+    capacity = -(-sum(size[g] * n for (g, _), n in start.items()) // 10)
+    rows = spark.createDataFrame([(g, size[g], s, n) for (g, s), n in start.items()], "grp string, size long, shard int, n long")
+    got = sharding.propagate(rows, capacity, 10, 20, buckets).collect()
+    want = by_hand(size, capacity, 10, 20, start)
+    cut = {}
+    for name, cells in (("joins", {(r["grp"], r["shard"]): r["n"] for r in got}), ("plain", want)):
+        assert sum(cells.values()) == sum(start.values())
+        by = defaultdict(list)
+        for (g, _), n in cells.items():
+            by[g].append(n)
+        cut[name] = (sum(cut_edges(v) for g, v in by.items() if g != "hot"), len(by["hot"]), cut_edges(by["hot"]))
+    assert cut["joins"][0] <= 1.05 * cut["plain"][0] + 20 and cut["joins"][1] <= cut["plain"][1] + 1 and cut["joins"][2] <= 1.05 * cut["plain"][2] + 20
+
+
+def test_sharding_does_not_depend_on_the_number_of_buckets(spark):
+    rows = [(i, "same text " * 20) for i in range(600)] + [(1000 + i, f"pair {i // 2} " * 20) for i in range(400)] + [(5000 + i, f"alone {i} " * 20) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = ({(r["doc_id"], r["shard"]) for r in sharding.shard_documents(df, shards=10, bucket_rows=n).collect()} for n in (20_000, 20))
+    assert one == many
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     df = queries.op2_language_id(spark, sf_dir.replace("0.001", "0.01")).join(spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/documents.parquet").select("doc_id", "lang"), "doc_id")
     rows = df.collect()
