@@ -14,17 +14,22 @@ ANAPHORIC = [
 ]
 
 
+def _plain(name: Column) -> Column:
+    """Lower case, without punctuation, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"(?U)[^\w\s&]", " "), r"(?U)\s+", " "))
+
+
 def normalize_entity(name: Column) -> Column:
     """A stable key: lower case, no punctuation, articles and legal suffixes; a name of suffixes alone stays."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"(?U)[^\w\s&]", " "), r"(?U)\s+", " "))
+    clean = _plain(name)
     front = F.regexp_replace(clean, rf"^(?:(?:{'|'.join(ARTICLES)})(?: |$))+", "")
     core = F.regexp_replace(front, rf"(?:(?:^| )(?:{'|'.join(LEGAL)}))+$", "")
     return F.when(core == "", clean).otherwise(core)
 
 
 def is_anaphoric(name: Column) -> Column:
-    plain = F.lower(F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)\s+", " ")))
-    return (plain == "") | plain.isin(ANAPHORIC)
+    """Whether a name refers back to the document's subject, however it is punctuated; none does too."""
+    return (F.trim(F.coalesce(name, F.lit(""))) == "") | _plain(name).isin(ANAPHORIC)
 
 
 def resolve_subject(raw: Column, primary: Column) -> Column:

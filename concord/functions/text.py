@@ -109,11 +109,16 @@ def metric_support(metric: Column, evidence: Column) -> Column:
 
 
 def clean_qualifiers(m: Column) -> Column:
-    """Snake-case keys; entries that are empty or longer than 300 characters go."""
-    entries = F.transform(F.map_entries(m), lambda e: F.struct(F.trim(F.regexp_replace(F.lower(F.trim(e["key"])), r"(?U)[^\w]+", "_"), F.lit("_")).alias("key"), F.trim(e["value"]).alias("value")))
-    kept = F.filter(entries, lambda e: (e["key"] != "") & (F.coalesce(e["value"], F.lit("")) != "") & (F.length(e["value"]) <= 300))
-    last = F.filter(kept, lambda e, i: ~F.exists(F.slice(kept, i + 2, F.greatest(F.size(kept), F.lit(1))), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
+    """Snake-case keys and plain values: JSON lists are joined by a comma, objects stay JSON; entries that are empty or longer than 300 characters go, of equal keys the last stays."""
+
+    def plain(v):
+        listed = F.array_join(F.from_json(F.when(v.rlike(r"(?s)^\s*\[.*\]\s*$"), v), "array<string>"), ", ")
+        return normalize_ws(F.coalesce(listed, v))
+
+    snake = lambda k: F.trim(F.regexp_replace(F.lower(F.trim(k)), r"(?U)[^\w]+", "_"), F.lit("_"))
+    entries = F.transform(F.map_entries(m), lambda e: F.struct(snake(e["key"]).alias("key"), plain(e["value"]).alias("value")))
+    kept = F.filter(entries, lambda e: (e["key"] != "") & ~F.coalesce(e["value"], F.lit("")).isin("", "{}", "null") & (F.length(e["value"]) <= 300))
+    return let(kept, lambda own: F.map_from_entries(F.filter(own, lambda e, i: F.array_position(F.transform(F.reverse(own), lambda x: x["key"]), e["key"]) == F.size(own) - i)))
 
 
 def public_qualifiers(m: Column) -> Column:

@@ -84,7 +84,10 @@ def ground(quotes: DataFrame, pages: DataFrame, lines: DataFrame | None = None,
     exact = rows.where(F.contains("_t", "_q")).groupBy("id").agg(F.min_by("at", "ord").alias("at"))
     exact = exact.select("id", "at", F.lit(1.0).alias("ratio"), F.lit(True).alias("verified"), F.lit("verbatim").alias("mode"), F.lit(0).alias("_tier"))
     left = rows.join(exact.select("id"), "id", "left_anti")
-    fuzzy = left.withColumn("ratio", similarity.window_ratio(F.col("_q"), F.col("_t"))).where("ratio >= 0.62")
+    # the UDF looks for a common block of 12 characters at least, so some 12 of the quote must stand in the page
+    pieces = F.transform(F.sequence(F.lit(1), F.length("_q") - 11), lambda i: F.substr(F.col("_q"), i, F.lit(12)))
+    near = left.where(F.exists(pieces, lambda x: F.contains(F.col("_t"), x)))
+    fuzzy = near.withColumn("ratio", similarity.window_ratio(F.col("_q"), F.col("_t"))).where("ratio >= 0.62")
     tiers = fuzzy.select("id", "at", "ord", "ratio", (F.col("ratio") >= 0.80).alias("verified"), F.lit("fuzzy").alias("mode"), F.lit(1).alias("_tier"))
     if lines is not None:
         text = lines.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), F.lower(normalize_ws(F.col("text"))).alias("_line"))

@@ -26,6 +26,11 @@ is_approximate boolean, qualifiers map<string,string>, period_label string, peri
 period_is_point boolean, evidence_text string, page int, match_ratio double, grounded boolean, confidence double, metric_support double"""
 
 
+# What the rules read of a fact; nothing else goes through the joins of pairs.
+READ = """id doc_id subject_key metric_cluster derivative_kind value_raw value_num value_low value_high value_unit value_kind is_range is_approximate qualifiers
+period_canonical period_start period_end evidence_text metric_support""".split()
+
+
 def normalize_facts(raw: DataFrame, primary: DataFrame | None = None, start_months: DataFrame | None = None) -> DataFrame:
     """Facts of FACT_SCHEMA from written ones: id, doc_id, subject_raw, metric_raw, value_raw, unit_hint, period_text, qualifiers, evidence_text, page, match_ratio, grounded, confidence.
 
@@ -36,13 +41,18 @@ def normalize_facts(raw: DataFrame, primary: DataFrame | None = None, start_mont
         df = df.join(side.select("doc_id", col), "doc_id", "left") if side is not None else df.withColumn(col, default)
     from concord.functions.entities import normalize_entity, resolve_subject
 
-    df = units.parse_value(df, "value_raw", "unit_hint", "_v").withColumn("_p", periods.parse_period(F.col("period_text"), F.coalesce("start_month", F.lit(4))))
+    df = units.parse_value(df, "value_raw", "unit_hint", "_v")
+    # far fewer periods and labels are written than facts: each is read once and joined back
+    when = F.struct(F.coalesce("period_text", F.lit("")).alias("t"), F.coalesce("start_month", F.lit(4)).cast("int").alias("m"))
+    df = once(df.withColumn("_when", when), "_when", _p=periods.parse_period(F.col("_when.t"), F.col("_when.m")))
+    df = once(df.withColumn("_label", F.coalesce("metric_raw", F.lit(""))), "_label", _key=text.metric_key(F.col("_label")), _kind=text.derivative_kind(F.col("_label")))
     subject = resolve_subject(F.col("subject_raw"), F.col("primary_entity"))
-    df = df.withColumns({"_key": text.metric_key(F.col("metric_raw")), "_support": text.metric_support(F.col("metric_raw"), F.col("evidence_text")), "_subject": subject})
+    support = F.when(F.coalesce("evidence_text", F.lit("")) == "", F.lit(None)).otherwise(F.col("evidence_text"))
+    df = df.withColumns({"_support": text.metric_support(F.col("metric_raw"), support), "_subject": subject})
     v, p = F.col("_v"), F.col("_p")
     return df.select(
         "id", "doc_id", F.substring("_subject", 1, 200).alias("subject_raw"), F.substring(normalize_entity(F.col("_subject")), 1, 200).alias("subject_key"),
-        F.substring("metric_raw", 1, 160).alias("metric_raw"), F.col("_key").alias("metric_key"), F.col("_key").alias("metric_cluster"), text.derivative_kind(F.col("metric_raw")).alias("derivative_kind"),
+        F.substring("metric_raw", 1, 160).alias("metric_raw"), F.col("_key").alias("metric_key"), F.col("_key").alias("metric_cluster"), F.col("_kind").alias("derivative_kind"),
         F.when(v["number"].isNotNull(), "numeric").otherwise("textual").alias("fact_type"), F.lit("affirmed").alias("polarity"), F.substring("value_raw", 1, 300).alias("value_raw"),
         v["number"].alias("value_num"), v["low"].alias("value_low"), v["high"].alias("value_high"), v["unit"].alias("value_unit"), v["kind"].alias("value_kind"), v["is_range"].alias("is_range"), v["is_approximate"].alias("is_approximate"),
         "qualifiers", p["label"].alias("period_label"), p["canonical"].alias("period_canonical"), p["kind"].alias("period_kind"), p["start"].alias("period_start"), p["end"].alias("period_end"), p["is_point"].alias("period_is_point"),
@@ -51,6 +61,12 @@ def normalize_facts(raw: DataFrame, primary: DataFrame | None = None, start_mont
     )
 
 
+def once(df: DataFrame, key: str, **made: Column) -> DataFrame:
+    """``df`` with columns made of ``key``, worked out once for each distinct value."""
+    values = df.select(key).distinct().select(F.col(key).alias(f"{key}_"), *[c.alias(n) for n, c in made.items()])
+    return df.join(values, F.col(key) == F.col(f"{key}_")).drop(f"{key}_")
+
+
 def idf_weights(facts: DataFrame, max_postings: int | None = None) -> DataFrame:
     """token, df, idf = ln(1 + facts / df) of the stems of metric labels."""
     tokens = facts.select("id", F.explode(F.split("metric_key", " ")).alias("token")).where("token <> ''")
@@ -63,9 +79,12 @@ def candidates(facts: DataFrame, probes: DataFrame | None = None, settings: Thre
     """fact_a < fact_b, similarity, same_cluster: each probe's best partners among facts on the same entity and quantity.
 
     The gate (equal subject, and equal cluster or equal stems) is part of the join, so a hot
-    token never makes pairs across entities; the join keys are subject and label, which AQE
-    splits when skewed. ``faithful`` ranks by shared tokens over all entities first and
-    applies the gate to each probe's shortlist, as a token index would.
+    token never makes pairs across entities. All facts with one subject and label are alike to
+    a probe, so labels are compared, not facts: of each label only the top_k + 1 smallest ids
+    can be partners, a probe label's best of these are listed once, and every probe takes its
+    list without itself. Work is linear in the facts, however many share a label. ``faithful``
+    ranks by shared tokens over all entities first and applies the gate to each probe's
+    shortlist, as a token index would.
     """
     f = facts.where("subject_key <> ''").select("id", "subject_key", "metric_key", F.coalesce("metric_cluster", F.lit("")).alias("cluster"), "metric_raw", "derivative_kind")
     p = (probes if probes is not None else facts).where("subject_key <> ''").select(*[F.col(c).alias(f"p_{c}") for c in ("id", "subject_key", "metric_key")], F.coalesce("metric_cluster", F.lit("")).alias("p_cluster"), F.col("metric_raw").alias("p_raw"), F.col("derivative_kind").alias("p_kind"))
@@ -81,16 +100,37 @@ def candidates(facts: DataFrame, probes: DataFrame | None = None, settings: Thre
         short = hits.union(bonus).groupBy("p_id", "id").agg(F.round(F.sum("idf"), 9).alias("score")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= size)
         pairs = short.select("p_id", "id").join(p, "p_id").join(f, "id").where((F.col("p_subject_key") == F.col("subject_key")) & (same | ((F.col("p_metric_key") == F.col("metric_key")) & (F.col("metric_key") != ""))))
     else:
-        # two equi-joins rather than an OR: by cluster, and by label where the clusters differ
-        by_cluster = p.join(f, (F.col("p_subject_key") == F.col("subject_key")) & (F.col("p_cluster") == F.col("cluster"))).where("p_id <> id AND cluster <> ''")
-        by_label = p.join(f, (F.col("p_subject_key") == F.col("subject_key")) & (F.col("p_metric_key") == F.col("metric_key"))).where("p_id <> id AND metric_key <> ''").where(~same)
-        pairs = by_cluster.unionByName(by_label)
+        return _by_label(f, p, settings)
     scored = pairs.select("p_id", "id", same.alias("same_cluster"), text.metric_similarity(F.col("p_raw"), F.col("metric_raw"), (F.col("p_metric_key"), F.col("metric_key")), (F.col("p_kind"), F.col("derivative_kind"))).alias("similarity"))
     best = Window.partitionBy("p_id").orderBy(F.desc("similarity"), "id")
     top = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= settings.top_k)
     return top.groupBy(F.least("p_id", "id").alias("fact_a"), F.greatest("p_id", "id").alias("fact_b")).agg(F.max("similarity").alias("similarity"), F.max("same_cluster").alias("same_cluster"))
 
 
+def _by_label(f: DataFrame, p: DataFrame, settings: Thresholds) -> DataFrame:
+    names = ["subject_key", "cluster", "metric_key", "metric_raw", "derivative_kind"]
+    p = p.toDF(*[{"p_raw": "p_metric_raw", "p_kind": "p_derivative_kind"}.get(c, c) for c in p.columns])
+    label = F.struct(*names).alias("label")
+    own = F.struct(*[F.col(f"p_{n}").alias(n) for n in names]).alias("p_label")
+    # the labels of a subject, each with the smallest ids: a limit that tasks apply before the shuffle
+    smallest = f.select(label, "id").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where(F.col("r") <= settings.top_k + 1)
+    labels = smallest.groupBy("label").agg(F.collect_list("id").alias("ids")).select("label", "ids", *[F.col("label")[n].alias(n) for n in ("subject_key", "cluster", "metric_key")])
+    asked = p.select(own).distinct().select("p_label", *[F.col("p_label")[n].alias(f"p_{n}") for n in ("subject_key", "cluster", "metric_key")])
+    same = (F.col("p_cluster") == F.col("cluster")) & (F.col("cluster") != "")
+    subject = F.col("p_subject_key") == F.col("subject_key")
+    by_cluster = asked.join(labels, subject & (F.col("p_cluster") == F.col("cluster"))).where("cluster <> ''")
+    by_label = asked.join(labels, subject & (F.col("p_metric_key") == F.col("metric_key"))).where("metric_key <> ''").where(~same)
+    x, y = F.col("p_label"), F.col("label")
+    similar = text.metric_similarity(x["metric_raw"], y["metric_raw"], (x["metric_key"], y["metric_key"]), (x["derivative_kind"], y["derivative_kind"]))
+    near = by_cluster.unionByName(by_label).select("p_label", same.alias("same_cluster"), similar.alias("similarity"), F.explode("ids").alias("id"))
+    best = Window.partitionBy("p_label").orderBy(F.desc("similarity"), "id")
+    top = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= settings.top_k + 1)
+    lists = top.groupBy("p_label").agg(F.array_sort(F.collect_list(F.struct("r", "id", "similarity", "same_cluster"))).alias("best"))
+    partners = F.slice(F.filter("best", lambda e: e["id"] != F.col("p_id")), 1, settings.top_k)
+    found = p.select("p_id", own).join(lists, "p_label").select("p_id", F.explode(partners).alias("e")).select("p_id", "e.id", "e.similarity", "e.same_cluster")
+    return found.groupBy(F.least("p_id", "id").alias("fact_a"), F.greatest("p_id", "id").alias("fact_b")).agg(F.max("similarity").alias("similarity"), F.max("same_cluster").alias("same_cluster"))
+
+
 def pair_rows(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Pairs with both facts as structs a and b."""
     a = facts.select(F.col("id").alias("fact_a"), F.struct(*facts.columns).alias("a"))
@@ -282,7 +322,7 @@ def append_new(stored: DataFrame, new: DataFrame) -> DataFrame:
 def link(facts: DataFrame, probes: DataFrame | None = None, settings: Thresholds = DEFAULTS, faithful: bool = False) -> DataFrame:
     """Verdicts of all candidate pairs: candidates, observations, rules, series."""
     pairs = candidates(facts, probes, settings, faithful)
-    return classify(observe(pair_rows(pairs, facts), settings), enumerations(facts, settings), settings)
+    return classify(observe(pair_rows(pairs, facts.select(*READ)), settings), enumerations(facts, settings), settings)
 
 
 def sweep(observed_by: dict[tuple[str, float], DataFrame]) -> DataFrame:

@@ -39,10 +39,20 @@ def written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, WRITTEN)
 
 
+_held: dict[str, DataFrame] = {}
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger as normalised facts, kept for the joins that read them several times."""
-    raw = written(spark, sf_dir).withColumns({"qualifiers": F.create_map(F.lit("basis"), "basis"), "evidence_text": F.lit(""), "page": F.lit(1), "match_ratio": F.lit(1.0), "grounded": F.lit(True), "confidence": F.lit(0.9)})
-    return linking.normalize_facts(raw).persist()
+    """The ledger as normalised facts, kept for the joins that read them several times; those of another folder are released."""
+    key = f"{spark.sparkContext.applicationId} {sf_dir}"
+    if key not in _held:
+        for old in list(_held):
+            gone = _held.pop(old)
+            if old.split(" ", 1)[0] == spark.sparkContext.applicationId:
+                gone.unpersist()
+        raw = written(spark, sf_dir).withColumns({"qualifiers": F.create_map(F.lit("basis"), "basis"), "evidence_text": F.lit(""), "page": F.lit(1), "match_ratio": F.lit(1.0), "grounded": F.lit(True), "confidence": F.lit(0.9)})
+        _held[key] = linking.normalize_facts(raw)
+    return _held[key].persist()
 
 
 # The ledger's facts as DuckDB reads them from the written strings.
@@ -102,9 +112,9 @@ ruled AS (
     WHEN rel = 'EQUAL' AND (scale OR fx) THEN '7c' WHEN rel = 'EQUAL' AND 0.0 = 1.0 THEN '7e' WHEN rel = 'EQUAL' THEN '7d'
     WHEN rel = 'CONTAINS' AND abs(y) > 1.02 * abs(x) THEN '8a' WHEN rel = 'CONTAINED_BY' AND abs(x) > 1.02 * abs(y) THEN '8a'
     WHEN rel IN ('CONTAINS', 'CONTAINED_BY') THEN '8b' WHEN rel = 'DISJOINT' THEN '9' WHEN rel = 'OVERLAPS' THEN '10' WHEN within THEN '11a' ELSE '11b' END AS base,
-    da = db AND ca = cb AND EXISTS (SELECT 1 FROM series s WHERE s.doc_id = v.da AND s.subject_key = v.subject_key AND s.canonical = v.ca) AS member
-  FROM scaled v),
-verdicts AS (
+    da = db AND ca = cb AND s.doc_id IS NOT NULL AS member
+  FROM scaled v LEFT JOIN series s ON s.doc_id = v.da AND s.subject_key = v.subject_key AND s.canonical = v.ca),
+verdicts AS MATERIALIZED (
   SELECT fact_a, fact_b, cross_doc, rel_diff, CASE WHEN member THEN '*' ELSE base END AS rule,
     CASE WHEN member THEN 'RELATED' WHEN base IN ('7a', '11a') THEN 'CORROBORATES' WHEN base IN ('7d', '9', '11b') THEN 'RELATED' WHEN base = '7f' THEN 'CONTRADICTS' ELSE 'RECONCILED' END AS kind,
     CAST(CASE WHEN member THEN 0.30 ELSE CASE base WHEN '1' THEN 0.70 WHEN '6' THEN 0.50 WHEN '7a' THEN 0.99 WHEN '7b' THEN 0.60 WHEN '7c' THEN CASE WHEN scale THEN 0.60 ELSE 0.55 END WHEN '7d' THEN 0.30 WHEN '7f' THEN 0.65

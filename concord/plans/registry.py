@@ -119,6 +119,29 @@ def fiscal_periods(spark, sf_dir):
     return ledger.sql(spark, sf_dir, _PERIODS).select("o_orderkey", raw.alias("raw")).select("o_orderkey", p.alias("p")).select("o_orderkey", "p.kind", F.col("p.start").cast("string").alias("p0"), F.col("p.end").cast("string").alias("p1"))
 
 
+_NAMED = "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, CAST(o_orderkey % 13 AS INT) AS k FROM orders"
+
+
+@query("period_patterns", f"""
+WITH p AS ({_NAMED}), s AS (SELECT *, m % 4 AS q, m % 2 AS h, make_date(y - 1, 4, 1) AS f0 FROM p),
+r AS (SELECT *, CASE k WHEN 0 THEN f0 + to_months(3 * q) WHEN 1 THEN f0 + to_months(3) WHEN 2 THEN f0 + to_months(6 * h) WHEN 3 THEN f0 WHEN 4 THEN make_date(y, 4, 1) WHEN 5 THEN f0 WHEN 6 THEN make_date(y - 1, m, 16)
+    WHEN 7 THEN make_date(y, m, d) WHEN 8 THEN make_date(y, 1, 1) WHEN 9 THEN make_date(y, 4, 1) WHEN 10 THEN make_date(y - 1, 10, 1) WHEN 11 THEN make_date(y, m, 1) ELSE make_date(y, 1, 1) END::DATE AS p0 FROM s),
+e AS (SELECT *, CASE WHEN k IN (0, 1) THEN last_day((p0 + to_months(2))::DATE) WHEN k = 2 THEN last_day((p0 + to_months(5))::DATE) WHEN k = 3 THEN last_day((p0 + to_months(8))::DATE) WHEN k = 6 THEN make_date(y, m, 15) WHEN k = 7 THEN p0
+    WHEN k = 10 THEN make_date(y, 1, 31) WHEN k = 11 THEN last_day(p0) ELSE last_day((p0 + to_months(11))::DATE) END AS p1 FROM r)
+SELECT o_orderkey, CASE WHEN k <= 1 THEN 'QUARTER' WHEN k <= 3 THEN 'HALF' WHEN k IN (4, 5, 9) OR k = 6 AND m = 3 THEN 'FY' WHEN k IN (6, 8, 12) THEN 'CY' WHEN k = 7 THEN 'POINT' WHEN k = 10 THEN 'RANGE' ELSE 'MONTH' END AS kind, CAST(p0 AS VARCHAR) AS p0, CAST(p1 AS VARCHAR) AS p1,
+  CASE k WHEN 0 THEN 'Q' || (q + 1) || ' FY' || y WHEN 1 THEN 'Q2 FY' || y WHEN 2 THEN 'H' || (h + 1) || ' FY' || y WHEN 3 THEN '9M FY' || y WHEN 4 THEN 'FY' || (y + 1) WHEN 5 THEN 'FY' || y WHEN 6 THEN CASE WHEN m = 3 THEN 'FY' || y ELSE '12M to ' || p1 END
+    WHEN 7 THEN 'as at ' || p0 WHEN 8 THEN 'CY' || y WHEN 9 THEN 'FY' || (y + 1) WHEN 10 THEN strftime(p0, '%b %Y') || ' – ' || strftime(p1, '%b %Y') WHEN 11 THEN strftime(p0, '%b %Y') ELSE '' || y END AS canonical FROM e""")
+def period_patterns(spark, sf_dir):
+    """All thirteen ways of naming a period."""
+    month = "date_format(make_date(y, m, 1), 'MMMM')"
+    raw = F.expr(f"""CASE k WHEN 0 THEN 'Q' || (m % 4 + 1) || ' FY' || y WHEN 1 THEN 'second quarter of fiscal ' || y WHEN 2 THEN 'H' || (m % 2 + 1) || ' FY' || y WHEN 3 THEN '9M FY' || y WHEN 4 THEN 'FY ' || y || '-' || lpad((y + 1) % 100, 2, '0')
+        WHEN 5 THEN 'fiscal year ' || y WHEN 6 THEN 'for the year ended 15 ' || {month} || ' ' || y WHEN 7 THEN 'as at ' || {month} || ' ' || d || ', ' || y WHEN 8 THEN 'CY' || y WHEN 9 THEN y || '-' || lpad((y + 1) % 100, 2, '0')
+        WHEN 10 THEN 'October to January ' || y WHEN 11 THEN {month} || ' ' || y ELSE 'in ' || y END""")
+    p = periods.parse_period(F.col("raw"))
+    named = ledger.sql(spark, sf_dir, _NAMED).select("o_orderkey", raw.alias("raw"))
+    return linking.once(named, "raw", p=p).select("o_orderkey", "p.kind", F.col("p.start").cast("string").alias("p0"), F.col("p.end").cast("string").alias("p1"), "p.canonical")
+
+
 @query("period_relations", """
 WITH f AS (SELECT o_custkey, min(o_orderdate)::DATE AS a0, max(o_orderdate)::DATE AS a1 FROM orders GROUP BY 1), g AS (SELECT o_custkey, min(o_orderdate)::DATE AS b0, max(o_orderdate)::DATE AS b1 FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
 SELECT f.o_custkey, CASE WHEN b0 IS NULL THEN 'UNKNOWN' WHEN a0 = b0 AND a1 = b1 THEN 'EQUAL' WHEN a0 <= b0 AND a1 >= b1 THEN 'CONTAINS' WHEN b0 <= a0 AND b1 >= a1 THEN 'CONTAINED_BY' WHEN a1 < b0 OR b1 < a0 THEN 'DISJOINT' ELSE 'OVERLAPS' END AS relation
@@ -303,7 +326,12 @@ def heuristic_extract(spark, sf_dir):
     return proposals.heuristic_facts(page_source.chunk_pages(pages))
 
 
-@query("threshold_sweep")
+def _swept(w: float) -> str:
+    """Counts of kinds under another scale window."""
+    return f"SELECT * FROM ({ledger.VERDICTS.replace('<= 0.18', f'<= {w}')} SELECT 'scale_window' AS threshold, {w}::DOUBLE AS value, kind, count(*) AS n FROM verdicts GROUP BY kind)"
+
+
+@query("threshold_sweep", " UNION ALL ".join(_swept(w) for w in (0.05, 0.18, 0.30)))
 def threshold_sweep(spark, sf_dir):
     from dataclasses import replace
 

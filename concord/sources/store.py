@@ -16,8 +16,9 @@ class Store:
     SCHEMAS = {
         "documents": "id string, sha256 string, filename string, title string, primary_entity string, status string",
         "facts": FACT_SCHEMA,
-        "relations": "id string, fact_a string, fact_b string, kind string, score double, dimension string, method string, rationale string, cross_doc boolean, similarity double",
-        "quarantine": "doc_id string, reason string, payload string",
+        "relations": "id string, fact_a string, fact_b string, kind string, score double, dimension string, method string, rationale string, cross_doc boolean, similarity double, overturned boolean, observation string",
+        "quarantine": "id string, doc_id string, reason string, payload string, created_at timestamp",
+        "linked": "id string",
         "events": "doc_id string, stage string, message string",
     }
 
@@ -57,10 +58,34 @@ class Store:
         """Insert or replace by id."""
         self.replace("facts", self.read("facts").join(new.select("id"), "id", "left_anti").unionByName(new.select(*self.read("facts").columns)))
 
+    def insert_facts(self, new: DataFrame) -> None:
+        """Insert or ignore by id; stored files stay as they are."""
+        self.append("facts", new.dropDuplicates(["id"]).join(self.read("facts").select("id"), "id", "left_anti"))
+
     def insert_relations(self, new: DataFrame) -> None:
-        """Insert or ignore by pair."""
+        """Insert or ignore by pair; what was observed is kept as JSON."""
+        if "overturned" not in new.columns:
+            new = new.withColumn("overturned", F.lit(False))
+        if dict(new.dtypes).get("observation", "string") != "string":
+            new = new.withColumn("observation", F.to_json("observation"))
+        elif "observation" not in new.columns:
+            new = new.withColumn("observation", F.lit(None).cast("string"))
         self.append("relations", append_new(self.read("relations"), new))
 
+    def refuse(self, bad: DataFrame) -> None:
+        """Quarantine refused proposals (doc_id, reason, payload), each once."""
+        row = F.concat(F.lit("q_"), F.substring(F.sha2(F.concat_ws("\x1f", "doc_id", "reason", "payload"), 256), 1, 12))
+        known = self.read("quarantine").select("id")
+        self.append("quarantine", bad.withColumns({"id": row, "created_at": F.current_timestamp()}).dropDuplicates(["id"]).join(known, "id", "left_anti"))
+
+    def unlinked(self) -> DataFrame:
+        """Stored facts that no finished link has taken as probes."""
+        return self.read("facts").join(self.read("linked"), "id", "left_anti")
+
+    def new_files(self, files: DataFrame) -> DataFrame:
+        """Files (sha256, ...) of which no document is stored as ready."""
+        return files.join(self.read("documents").where("status = 'ready'").select("sha256"), "sha256", "left_anti")
+
     def delete_document(self, doc_id: str) -> None:
         """A document with its facts and their relations; quarantine and events stay."""
         facts = self.read("facts")
@@ -69,5 +94,6 @@ class Store:
         for side in ("fact_a", "fact_b"):
             r = r.join(gone, F.col(side) == gone["id"], "left_anti")
         self.replace("relations", r)
+        self.replace("linked", self.read("linked").join(gone, "id", "left_anti"))
         self.replace("facts", facts.where(F.col("doc_id") != doc_id))
         self.replace("documents", self.read("documents").where(F.col("id") != doc_id))
