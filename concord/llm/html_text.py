@@ -9,8 +9,12 @@ level. Weights are those of the exact likelihood, found by gradient ascent in nu
 labelled pages that a seeded generator writes (``training_pages``).
 
 A null or empty page has the empty text. Unclosed, stray and misnested tags are read like a
-browser's block structure. A text run without any block belongs to the page. Repeated rows
-repeat in the result; extra columns are ignored. Whole pages are read.
+browser's block structure; scripts, styles, titles and text areas that are never closed run to
+the page's end, other skipped elements (svg, select, button, video and the like) that are empty,
+never closed or closed only after a block that can't be theirs take nothing with them. A text
+run without any block belongs to the page. Ties between labels count as no content. Repeated
+rows repeat in the result, an empty table gives an empty one, and extra columns are ignored,
+whatever their names. Whole pages are read, however long, in slices.
 """
 
 from __future__ import annotations
@@ -29,7 +33,10 @@ from concord.llm.common import segment_sums, ship, slices, texts_of
 ship(__name__)
 
 # Names in HTML.
-RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|select|button|xmp|noframes|canvas|audio|video"
+RAW = "script|style|title|textarea"
+SKIPPED = frozenset("noscript template svg math iframe object select button xmp noframes noembed canvas audio video".split())
+NESTED = frozenset("svg math object template".split())
+PHRASING = frozenset("select button svg math".split())  # of which a block's start tag is no part
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -47,19 +54,39 @@ WORDS = {
     "form": "form search login contact poll survey",
     "note": "byline author date meta tags tag caption credit",
 }
+MODIFIERS = frozenset("has have with without no not is hide show in".split())  # what follows says something about a neighbour
 LEXICON = {w: kind for kind, words in WORDS.items() for w in words.split()}
-FEATURES = ["bias", "leaf", *[f"t:{t}" for t in TAGS], "t:other", *[f"c:{k}" for k in WORDS], "c:other", "len0", "len1", "len2", "len3", "len4", "link0", "link1", "link2", "stop", "nostop"]
+FEATURES = ["bias", "leaf", *[f"t:{t}" for t in TAGS], "t:other", *[f"c:{k}" for k in WORDS], "c:other", "len0", "len1", "len2", "len3", "len4", "link0", "link1", "link2", "stop", "nostop", "sub0", "sub1", "sub2", "sub3", "sublink0", "sublink1", "sublink2", "sentences"]
 F_OF = {f: i for i, f in enumerate(FEATURES)}
 NEUTRAL, CONTENT, BOILER = range(3)
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<([/]?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([/]?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>(?:.*?</\1\s*>|.*\Z)|<([/]?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([/]?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+BLOCK = re.compile(r"<(?:p|h[1-6]|article|section|main|blockquote|table|ul|ol|dl|header|footer|nav|aside|form)(?=[\s/>])", re.I)
+SAME = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.I) for t in SKIPPED}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+def skipped_to(source: str, tag: str, lo: int, hi: int) -> int:
+    """Where a skipped element whose start tag is source[lo:hi] ends; ``hi`` if it is empty or never closed as its content allows."""
+    if source[lo:hi].endswith("/>"):
+        return hi
+    depth = 1
+    for m in SAME[tag].finditer(source, hi):
+        if m[1]:
+            depth -= 1
+        elif tag not in NESTED:
+            return hi
+        elif not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return hi if tag in PHRASING and BLOCK.search(source, hi, m.start()) else m.end()
+    return -1
+
+
 @functools.lru_cache(100_000)
 def element_features(tag: str, attributes: str) -> tuple[int, ...]:
     """Tag and lexicon features of a start tag."""
@@ -67,8 +94,11 @@ def element_features(tag: str, attributes: str) -> tuple[int, ...]:
     if "=" in attributes:
         found = set()
         for m in NAMES.finditer(attributes):
-            for w in PART.findall(m[1] or m[2] or m[3] or ""):
-                found.add(LEXICON.get(w.lower(), "other"))
+            for name in (m[1] or m[2] or m[3] or "").split():
+                before = ""
+                for w in map(str.lower, PART.findall(name)):
+                    found.add("other" if before in MODIFIERS else LEXICON.get(w, "other"))
+                    before = w
         out += [F_OF[f"c:{k}"] for k in sorted(found)]
     return tuple(out)
 
@@ -89,6 +119,7 @@ class Page:
         stack: list[tuple[str, int]] = [("", 0)]
         text: list[str] = []
         links = in_link = at = 0
+        open_for_good: set[str] = set()  # skipped elements that nothing closes any more
 
         def flush():
             nonlocal links
@@ -105,6 +136,9 @@ class Page:
 
         for m in TOKEN.finditer(source):
             lo, hi = m.span()
+            if lo < at:  # inside a skipped element, or its end
+                at = max(at, hi)
+                continue
             if lo > at:
                 text.append(source[at:lo])
                 if in_link:
@@ -115,6 +149,13 @@ class Page:
                 continue
             tag = tag.lower()
             closing = bool(m[2] or m[5])
+            if tag in SKIPPED:
+                if not closing and tag not in open_for_good:
+                    at = skipped_to(source, tag, lo, hi)
+                    if at < 0:
+                        open_for_good.add(tag)
+                        at = hi
+                continue
             if tag in INLINE:
                 if tag == "a":
                     in_link = not closing
@@ -179,11 +220,23 @@ class Forest:
             np.where(length == 0, -1, F_OF["link0"] + (share > 0.2) + (share > 0.6)),
             np.where(length == 0, -1, np.where(stops > 0, F_OF["stop"], F_OF["nostop"])),
             np.where(has, -1, F_OF["leaf"]),
+            *self._below(has, length, linked, stops),
         ])
         counts = np.fromiter((len(f) for p in pages for f in p.features), np.int64, len(parent))
         self.flat = np.fromiter((x for p in pages for f in p.features for x in f), np.int64, int(counts.sum()))
         self.counts, self.own = counts, own
 
+    def _below(self, has: np.ndarray, length: np.ndarray, linked: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
+        """Features of all text below a node with children: how much, how much of it links, whether it holds several sentences."""
+        total, links, ends = length.copy(), linked.copy(), stops.copy()
+        for rows in reversed(self.by_depth):
+            for x in (total, links, ends):
+                np.add.at(x, self.parent[rows], x[rows])
+        inner = has & ~self.root
+        share = links / np.maximum(1, total)
+        size = np.searchsorted([1, 120, 600], total, "right")
+        return [np.where(inner, F_OF["sub0"] + size, -1), np.where(inner & (total > 0), F_OF["sublink0"] + (share > 0.15) + (share > 0.5), -1), np.where(inner & (ends >= 3), F_OF["sentences"], -1)]
+
     def _levels(self) -> list[np.ndarray]:
         order = np.argsort(self.depth, kind="stable")
         cuts = np.searchsorted(self.depth[order], np.arange(1, int(self.depth.max()) + 2))
@@ -242,6 +295,7 @@ def training_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
     def write() -> tuple[str, list[int]]:
         out: list[str] = []
         labels: list[int] = []
+        brief = chance(0.3)  # an article of a few words
 
         def el(tag, label, inner, names=""):
             labels.append(label)
@@ -254,6 +308,12 @@ def training_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
             w = pick(*WORDS[pick(*kinds)].split())
             return f'{pick("class", "class", "id")}="{pick("", "site-", "page-", "x-", "js-")}{w}{pick("", "-box", "-wrap", "_1", " clearfix", "-inner")}"'
 
+        def misled():
+            """A name of an article's element that speaks of other things, as sites' own styles do, or of nothing."""
+            w = pick(*WORDS[pick(*WORDS)].split())
+            odd = pick(f"{w}-{words(1, 1)}", f"{words(1, 1)}-{w}", f"has-{w}", f"with-{w}", words(1, 1), f"{w}-item-page")
+            return f'class="{odd}{pick("", "", f" {words(1, 1)}", " story", " entry")}"'
+
         def named(tag, kind):
             return tag, name(kind) if tag in ("div", "section") or chance(0.5) else ""
 
@@ -266,7 +326,7 @@ def training_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
 
         def paras(label, lo, hi, long=True):
             for _ in range(int(rng.integers(lo, hi + 1))):
-                body = " ".join(sentence(1, 25) for _ in range(int(rng.integers(1, 6 if long else 2))))
+                body = sentence(1, 4) if brief and label == CONTENT else " ".join(sentence(1, 25) for _ in range(int(rng.integers(1, 6 if long else 2))))
                 if chance(0.15):
                     body += f' <a href="/x">{words(1, 4)}</a>.'
                 if chance(0.1):
@@ -305,7 +365,7 @@ def training_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
             c = CONTENT
             if chance(0.85):
                 el(pick("h1", "h1", "h2"), c, words(2, 12))
-            for _ in range(int(rng.integers(1, 6))):
+            for _ in range(int(rng.integers(1, 3 if brief else 6))):
                 kind = pick("p", "p", "p", "p", "list", "quote", "table", "figure", "div", "h", "boiler", "dl", "pre")
                 if kind == "p":
                     paras(c, 1, 5)
@@ -318,7 +378,7 @@ def training_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
                 elif kind == "figure":
                     el("figure", c, lambda: (out.append('<img src="x.png">'), el("figcaption", c, sentence(2, 12))))
                 elif kind == "div":
-                    el(pick("div", "section"), c, lambda: paras(c, 1, 3), name("content") if chance(0.3) else "")
+                    el(pick("div", "section"), c, lambda: paras(c, 1, 3), name("content") if chance(0.3) else misled() if chance(0.4) else "")
                 elif kind == "h":
                     el(pick("h2", "h3", "h4"), c, words(1, 7))
                 elif kind == "dl":
@@ -335,11 +395,11 @@ def training_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
             if how == "bare":
                 content()
             elif how == "both":
-                el("main", NEUTRAL if chance(0.5) else CONTENT, lambda: el("article", CONTENT, content, name("content") if chance(0.3) else ""))
+                el("main", NEUTRAL if chance(0.5) else CONTENT, lambda: el("article", CONTENT, content, name("content") if chance(0.3) else misled() if chance(0.3) else ""))
             elif how in ("article", "main"):
-                el(how, CONTENT, content, name("content") if chance(0.4) else "")
+                el(how, CONTENT, content, name("content") if chance(0.4) else misled() if chance(0.3) else "")
             else:
-                el(how, CONTENT, content, name("content"))
+                el(how, CONTENT, content, name("content") if chance(0.7) else misled())
             for _ in range(int(rng.integers(0, 4))):
                 boiler()
 
