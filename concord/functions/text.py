@@ -149,3 +149,8 @@ def salvage_assignments(c: Column) -> Column:
     pattern = r'\{\s*"index"\s*:\s*(\d+)\s*,\s*"canonical"\s*:\s*"([^"]*)"\s*\}'
     at, name = (F.regexp_extract_all(c, F.lit(pattern), F.lit(i)) for i in (1, 2))
     return F.transform(F.arrays_zip(at.alias("i"), name.alias("n")), lambda e: F.struct(e["i"].cast("int").alias("index"), e["n"].alias("canonical")))
+
+
+def json_map(c):
+    """A stored JSON object as a map of strings; null, invalid JSON and other values give the empty map."""
+    return F.coalesce(F.from_json(c, "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -332,3 +334,33 @@ def sweep(observed_by: dict[tuple[str, float], DataFrame]) -> DataFrame:
         counts = verdicts.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(name).alias("threshold"), F.lit(value).alias("value"), "kind", "n")
         out = counts if out is None else out.unionByName(counts)
     return out
+
+
+#: Thresholds that only rules and series read; candidates don't depend on them.
+OF_RULES = ("text_equality", "shared_evidence", "attribution_floor", "enumeration_min", "scale_window")
+
+
+def link_each(facts: DataFrame, grid: dict[str, list[float]], settings: Thresholds = DEFAULTS) -> dict[tuple[str, float], DataFrame]:
+    """Verdicts for every (threshold, value) of ``grid``, over one plan of candidate pairs that all of them share."""
+    if other := set(grid) - set(OF_RULES):
+        raise ValueError(f"candidates depend on {sorted(other)}: call link for each value")
+    rows = pair_rows(candidates(facts, settings=settings), facts.select(*READ))
+    out = {}
+    for name, values in grid.items():
+        for value in values:
+            own = replace(settings, **{name: value})
+            out[name, value] = classify(observe(rows, own), enumerations(facts, own), own)
+    return out
+
+
+def moved(swept: DataFrame, baseline: DataFrame) -> DataFrame:
+    """threshold, value, moved (the differences to the ``baseline`` counts (kind, n), added up over kinds) and moved_pct, of all baseline verdicts (of 1, if there are none).
+
+    A kind that only one side has counts in full. Maps hold a count a kind, four at most.
+    """
+    counts = lambda df, *by: df.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("m" if by else "b"), F.sum("n").alias("total"))
+    both = counts(swept, "threshold", "value").drop("total").join(F.broadcast(counts(baseline)))  # one row
+    kinds = F.array_union(F.map_keys("m"), F.map_keys("b"))
+    of = lambda m, k: F.coalesce(F.try_element_at(F.col(m), k), F.lit(0))
+    total = F.aggregate(F.transform(kinds, lambda k: F.abs(of("m", k) - of("b", k)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    return both.withColumn("moved", total).select("threshold", "value", "moved", F.round(100 * F.col("moved") / F.greatest(F.coalesce("total", F.lit(0)), F.lit(1)), 1).alias("moved_pct"))

@@ -35,3 +35,8 @@ def apply_clusters(facts: DataFrame, assigned: DataFrame) -> DataFrame:
     """Facts with metric_cluster from the canonical name of their label."""
     c = assigned.select(F.col("key").alias("_k"), metric_key(F.col("canonical")).alias("_c"))
     return facts.join(c, F.col("metric_key") == F.col("_k"), "left").withColumn("metric_cluster", F.coalesce(F.nullif("_c", F.lit("")), "metric_cluster")).drop("_k", "_c")
+
+
+def known_names(existing: DataFrame, assigned: DataFrame) -> DataFrame:
+    """canonical: the names that the next batch may choose from, those before and those just given, each once."""
+    return existing.select("canonical").union(assigned.select("canonical")).where("canonical <> ''").distinct()

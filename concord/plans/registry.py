@@ -333,12 +333,21 @@ def _swept(w: float) -> str:
 
 @query("threshold_sweep", " UNION ALL ".join(_swept(w) for w in (0.05, 0.18, 0.30)))
 def threshold_sweep(spark, sf_dir):
-    from dataclasses import replace
+    return linking.sweep(linking.link_each(ledger.facts(spark, sf_dir), {"scale_window": [0.05, 0.18, 0.30]}))
 
-    from concord.thresholds import DEFAULTS
 
-    f = ledger.facts(spark, sf_dir)
-    return linking.sweep({("scale_window", w): linking.link(f, settings=replace(DEFAULTS, scale_window=w)) for w in (0.05, 0.18, 0.30)})
+_MOVES = (
+    "WITH s AS (" + " UNION ALL ".join(_swept(w) for w in (0.05, 0.18, 0.30)) + "), b AS (SELECT kind, n AS base FROM s WHERE value = 0.18), "
+    "t AS (SELECT DISTINCT threshold, value FROM s WHERE value <> 0.18), k AS (SELECT DISTINCT kind FROM s), "
+    "d AS (SELECT t.threshold, t.value, sum(abs(coalesce(n, 0) - coalesce(base, 0)))::BIGINT AS moved FROM t CROSS JOIN k LEFT JOIN s ON s.threshold = t.threshold AND s.value = t.value AND s.kind = k.kind LEFT JOIN b ON b.kind = k.kind GROUP BY ALL) "
+    "SELECT threshold, value, moved, round(100.0 * moved / greatest((SELECT coalesce(sum(base), 0) FROM b), 1), 1) AS moved_pct FROM d"
+)
+
+
+@query("threshold_moves", _MOVES)
+def threshold_moves(spark, sf_dir):
+    counts = linking.sweep(linking.link_each(ledger.facts(spark, sf_dir), {"scale_window": [0.05, 0.18, 0.30]}))
+    return linking.moved(counts.where("value <> 0.18"), counts.where("value = 0.18").select("kind", "n"))
 
 
 _RELATED_FACT = "o-5-1996"
