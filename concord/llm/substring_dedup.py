@@ -9,6 +9,11 @@ map task sees twice it settles itself, so a passage that a third of all document
 reaches its reducer once a slice. The reducer orders an anchor's rows by document and
 gives, for each run of windows that stand in a smaller document too, one removal interval.
 
+A phrase shorter than a window that very many documents share makes one anchor of windows that
+all differ, which no map task can settle. Such anchors are found beforehand from one row in
+``SAMPLED`` by a hash (those of ``HOT_WINDOWS`` windows or more there, the ``HOT_MOST`` largest), and their windows travel by anchor and window hash, each alone. Equal
+windows meet either way: the sample decides where windows are judged, never the result.
+
 A null text has no words. Texts of fewer words than a window lose nothing. Rows with a
 null id neither remove nor lose words, as no id is smaller or larger. Rows that repeat an id
 don't remove from each other. Extra columns are ignored.
@@ -28,6 +33,7 @@ from concord.llm.common import row_key, ship, slices, texts_of
 ship(__name__)
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+SAMPLED, HOT_WINDOWS, HOT_MOST = 32, 256, 65_536
 RUN = "anchor long, doc_id long, text_key long, first int, hashes binary, settled int"
 
 
@@ -48,9 +54,14 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * down, dtype=np.uint64)])
         x = (s[width:] - s[:-width]) * up[: len(h) - width + 1]
-        x ^= x >> np.uint64(32)  # spread: low bits depend on low bits only
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(29))
+    return rolling_spread(x)
+
+
+def rolling_spread(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mixing of bits: low bits of a polynomial depend on low bits only."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -62,7 +73,19 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def _window_runs(window: int):
+def dealt(anchor: np.ndarray, full: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Anchors to shuffle by; hot ones are told apart by the 16 bits of the window hash that don't travel."""
+    if not len(hot):
+        return anchor
+    salted = rolling_spread(anchor ^ ((full & np.uint64(0xFFFF)) + np.uint64(1)) * BASE)
+    return np.where(hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor, salted, anchor)
+
+
+NONE = np.zeros(0, np.uint64)
+
+
+def _window_runs(window: int, hot: np.ndarray = NONE):
+    """``hot``: sorted anchors whose windows travel each alone."""
     half = window // 2
 
     def run(batches):
@@ -91,7 +114,8 @@ def _window_runs(window: int):
                 start = np.arange(len(flat)) - at
                 own = np.repeat(np.arange(len(doc)), length)
                 good = np.flatnonzero((start + window <= length[own])[: len(full)])
-                w, a, d, s = full[good], anchor[good], own[good], start[good]
+                w, d, s = full[good], own[good], start[good]
+                a = dealt(anchor[good], w, hot)
                 order = np.argsort(w, kind="stable")
                 ws, ids_of = w[order], ids[doc[d]]
                 head = np.concatenate([[True], ws[1:] != ws[:-1]])
@@ -173,10 +197,19 @@ def _judge(chunk: int = 1_000_000):
     return run
 
 
+def hot_anchors(rows: DataFrame, window: int, sampled: int, least: int) -> np.ndarray:
+    """Sorted anchors of many unsettled windows, from one row in ``sampled``."""
+    some = rows.where(F.pmod(F.xxhash64(F.lit("hot"), "doc_id", "text_key"), F.lit(sampled)) == 0)
+    runs = some.mapInArrow(_window_runs(window), RUN)
+    counts = runs.where("settled = 0").groupBy("anchor").agg((F.sum(F.octet_length("hashes")) / 6).cast("long").alias("n"))
+    many = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "anchor").limit(HOT_MOST).collect()
+    return np.sort(np.array([r["anchor"] for r in many], np.int64).view(np.uint64))
+
+
 def removals(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key and spans, an array of (begin, end) of the first words of windows to remove."""
     rows = docs.where(F.col(id_col).isNotNull()).select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
-    runs = rows.mapInArrow(_window_runs(window), RUN)
+    runs = rows.mapInArrow(_window_runs(window, hot_anchors(rows, window, SAMPLED, HOT_WINDOWS)), RUN)
     found = runs.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_judge(), "doc_id long, text_key long, begin int, end int")
     return found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 

@@ -174,6 +174,26 @@ def test_substring_dedup_over_many_partitions_and_small_chunks(spark):
     assert {i: len(removed[i]) for i, _ in rows} == {i: n for i, _, n, _ in want}
 
 
+def test_windows_around_a_short_common_phrase_are_spread(spark, monkeypatch):
+    """A phrase of 45 words in every document: its windows all differ and would meet under a few anchors."""
+    phrase = " ".join(f"p{i}" for i in range(45))
+    rows = [(i, " ".join(f"a{i}x{k}" for k in range(20)) + f" {phrase} " + " ".join(f"b{i // 2}x{k}" for k in range(40))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    want = brute_dedup(rows, 50)
+    assert sum(n for _, _, n, _ in want) > 0
+    monkeypatch.setattr(substring_dedup, "SAMPLED", 4)
+    monkeypatch.setattr(substring_dedup, "HOT_WINDOWS", 50)
+    assert sorted(map(tuple, substring_dedup.dedup(df, with_text=False).collect()), key=str) == want
+    keyed = df.selectExpr("doc_id", "xxhash64(text) as text_key", "text")
+    hot = substring_dedup.hot_anchors(keyed, 50, 4, 50)
+
+    def largest(hot):
+        runs = keyed.mapInArrow(substring_dedup._window_runs(50, hot), substring_dedup.RUN)
+        return runs.groupBy("anchor").agg({"hashes": "count"}).selectExpr("max(`count(hashes)`)").first()[0]
+
+    assert len(hot) and largest(hot) * 10 < largest(substring_dedup.NONE)
+
+
 def test_deduplicated_keeps_columns(odd_docs):
     out = substring_dedup.deduplicated(odd_docs)
     assert out.columns == odd_docs.columns and out.dtypes == odd_docs.dtypes
