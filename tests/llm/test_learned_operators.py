@@ -295,6 +295,37 @@ def test_lm_learns(spark, sf_dir, captured):
     assert loss[2] < loss[1] - 0.02 and loss[1] < loss[0] - 0.2
 
 
+def test_lm_learns_from_every_training_row(spark, captured):
+    """Each row holds a subword that no other has: all of them have moved, those of rows held out have not."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    own = [i for i in range(2000, 30_000) if sp.id_to_piece(i)[:1] == "▁" and sp.id_to_piece(i)[1:].isalpha() and sp.encode(sp.id_to_piece(i)[1:].lower()) == [i]][:900]
+    rows = [(k, f"the {sp.id_to_piece(i)[1:].lower()} of the") for k, i in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    settings = attention_lm.Settings(warm_windows=10, least_words=20, epochs=1)
+    _, scorer = captured(df, F.col("doc_id") % 5 != 1, MODEL, settings)
+    begun = np.random.default_rng(settings.seed).normal(0, 0.3, scorer.attention.emb.shape).astype(np.float32)
+    moved = (scorer.attention.emb != begun).any(axis=1)[own]
+    assert len(own) == 900 and moved.tolist() == [k % 5 != 1 for k in range(900)]
+
+
+def test_lm_mixture_hears_every_word_the_tasks_learn(spark, monkeypatch):
+    """Words of all training text, frequent (sums) or not (rows), are evidence for the mixture's weights."""
+    df = spark.createDataFrame([(k, f"some w{k} words w{k} of text") for k in range(400)], "doc_id long, text string").repartition(3, "doc_id")
+    found = []
+
+    def spy(known, counts, scorer, rare, sums):
+        found.append((sum(r["n"] for x in rare for r in x.select(F.size("sub").alias("n")).collect()), sums))
+
+    monkeypatch.setattr(attention_lm, "fit_weights", spy)
+    monkeypatch.setattr(attention_lm, "GRID", [(1.0, 0.0)])  # the corpus share alone
+    monkeypatch.setattr(attention_lm, "GRID_WEIGHTS", np.array([[1.0], [0.0], [0.0]], np.float32))
+    attention_lm.score(df, F.lit(True), MODEL, attention_lm.Settings(warm_windows=0, least_words=20, epochs=1, broadcast_words=4))
+    whole = 400 * 7 + 0.5 * (405 + 1)
+    assert found[0][0] == 800 and found[0][1][0] == pytest.approx(400 * 5 * np.log(399.5 / whole), rel=1e-4)
+
+
 def test_lm_runs_from_another_folder(tmp_path):
     """Workers that don't find the repository get all code by value."""
     import os
