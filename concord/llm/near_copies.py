@@ -1,13 +1,16 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash alone can't tell them: at 0.8 two fingerprints of 64 bits differ in about 10 bits,
-and with budgets that wide neither the trie nor blocks of bits prune anything. So candidates
-come from MinHash: ``bands`` bands of ``rows`` minima each; two texts meet if one band
-agrees. At similarity 0.8 a pair meets with probability 1 - (1 - 0.8**5)**24, 0.99993. A pair
-whose SimHash fingerprints differ in more than ``APART`` bits is left out (texts of 50
-shingles or more; at 0.8 that many differ with probability below 1e-6). Each remaining pair is
-verified on the exact sets (64-bit hashes of shingles), and verified pairs are links of
-components. Texts with equal sets are one node from the start.
+Candidates come from SimHash first: the fingerprints of all shingle sets go through the binary
+trie self-join of ``simhash``, and each class of fingerprints that links of at most ``budget``
+bits connect is a bucket. SimHash alone can't find the rest: at 0.8 two fingerprints of 64 bits
+differ in about 10 bits, and with budgets that wide neither the trie nor blocks of bits prune
+anything. So MinHash adds further buckets beside it: ``bands`` bands of ``rows`` minima each; two
+texts meet if one band agrees. At similarity 0.8 a pair meets with probability
+1 - (1 - 0.8**5)**24, 0.99993, by the bands alone. A pair whose SimHash fingerprints differ in more
+than ``APART`` bits is left out (texts of 50 shingles or more; at 0.8 that many differ with
+probability below 1e-6). Each remaining pair is verified on the exact sets (64-bit hashes of
+shingles), and verified pairs are links of components. Texts with equal sets are one node from
+the start.
 
 In a bucket of at most ``pairwise`` nodes all pairs are candidates. A larger one is first dealt
 by node into chunks of about that size; all pairs inside a chunk are candidates, and the chunks'
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import row_key, ship, texts_of, written
-from concord.llm.simhash import components, majority
+from concord.llm.simhash import components, links, majority
 from concord.llm.simhash import one_of_each as one_of_each  # the same for these classes
 
 ship(__name__)
@@ -235,11 +238,18 @@ def exact_sets(asked: DataFrame, all_: DataFrame, docs: DataFrame, id_col: str,
     return written(texts.select("node", "text").mapInArrow(_sets, "node long, found array<long>").dropDuplicates(["node"]), "sets")
 
 
-def near_copies(docs: DataFrame, bands: int = 24, rows: int = 5, pairwise: int = 32, hot_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def trie_classes(nodes: DataFrame, budget: int) -> DataFrame:
+    """Buckets (val, node, size, fp): classes of fingerprints that the trie self-join connects over at most ``budget`` bits."""
+    found = components(links(written(nodes.select("fp").distinct(), "fingerprints"), budget)).select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
+    val = F.xxhash64(F.lit("trie"), F.coalesce("_root", "fp"))
+    return nodes.join(found, F.col("fp") == F.col("_fp"), "left").select(val.alias("val"), "node", "size", "fp")
+
+
+def near_copies(docs: DataFrame, bands: int = 24, rows: int = 5, pairwise: int = 32, hot_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text", budget: int = 2) -> DataFrame:
     """doc_id, text_key and root of every row; rows of one root are near copies, directly or over others."""
     all_ = written(sketches(docs, bands, rows, id_col, text_col), "sketches")
     nodes = written(all_.dropDuplicates(["node"]).select("node", "size", "fp", "signs", "bands"), "nodes")
-    buckets = nodes.select(F.explode("bands").alias("val"), "node", "size", "fp")
+    buckets = nodes.select(F.explode("bands").alias("val"), "node", "size", "fp").union(written(trie_classes(nodes, budget), "trie"))
     counts = buckets.groupBy("val").agg(F.count("*").alias("n"), F.min("node").alias("rep"))
     hot = counts.where(F.col("n") > hot_rows).select(F.col("val").alias("_v"), "n", "rep")
     dealt = buckets.join(hot, F.col("val") == F.col("_v"), "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce(F.ceil(F.col("n") / hot_rows), F.lit(1))))
@@ -251,8 +261,8 @@ def near_copies(docs: DataFrame, bands: int = 24, rows: int = 5, pairwise: int =
     sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     a, b = (sets.select(F.col("node").alias(n), F.col("found").alias(f)) for n, f in (("u", "fu"), ("v", "fv")))
     same = F.size(F.array_intersect("fu", "fv")) * 9 >= (F.size("fu") + F.size("fv")) * 4
-    links = written(pairs.join(a, "u").join(b, "v").where(same).select("u", "v"), "near-links")
-    found = components(links)
+    near = written(pairs.join(a, "u").join(b, "v").where(same).select("u", "v"), "near-links")
+    found = components(near)
     members = told.where("val IS NOT NULL").drop("v")
     if not members.isEmpty():
         more = written(across(members, found, nodes, sets_of), "near-links")

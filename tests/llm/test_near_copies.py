@@ -87,6 +87,23 @@ def test_large_buckets_lose_no_link(spark):
     assert by(got) == by(want) and len(by(want)) > 3
 
 
+def test_trie_self_join_finds_what_bands_miss(spark):
+    """With one band of 400 minima, texts within two bits of SimHash meet by the trie all the same; those further apart in sets stay apart."""
+    rng = np.random.default_rng(5)
+    rows, bits = [], {}
+    for i in range(40):
+        words = [f"w{k}" for k in rng.integers(0, 10**6, 1500)]
+        edited = [*words[:700], f"x{i}", *words[701:]]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+        a, b = (near_copies.majority(near_copies.shingles(t.encode())) for _, t in rows[-2:])
+        bits[i] = (a ^ b).bit_count()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["root"] for r in near_copies.near_copies(df, bands=1, rows=400).collect()}
+    near = [i for i in bits if bits[i] <= 2]
+    assert len(near) > 20 and all(got[2 * i] == got[2 * i + 1] for i in near)
+    assert len(set(got.values())) >= 40
+
+
 def test_odd_and_empty_rows(spark, odd_docs):
     none = odd_docs.where("false")
     assert near_copies.near_copies(none).count() == 0 and near_copies.one_of_each(none, near_copies.near_copies(none)).count() == 0
