@@ -34,6 +34,8 @@ ship(__name__)
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 SAMPLED, HOT_WINDOWS, HOT_MOST = 32, 256, 65_536
+#: Bytes of text whose windows a map task holds at a time; their arrays take some fifty times that.
+WINDOW_BYTES = 2 << 20
 RUN = "anchor long, doc_id long, text_key long, first int, hashes binary, settled int"
 
 
@@ -95,7 +97,7 @@ def _window_runs(window: int, hot: np.ndarray = NONE):
         for batch in batches:
             texts = texts_of(batch.column("text"))
             ids, keys = np.asarray(batch.column("doc_id")), np.asarray(batch.column("text_key"))
-            for lo, hi in slices(texts, 8 << 20):
+            for lo, hi in slices(texts, WINDOW_BYTES):
                 words = []
                 doc, length = [], []
                 for i in range(lo, hi):

@@ -254,3 +254,21 @@ def test_empty_tables(spark, sf_dir):
 
 def test_registered():
     assert {"op3_simhash", "op5_sentencepiece", "op8_mixing", "op10_substring_dedup"} <= set(queries.QUERIES)
+
+
+def test_window_runs_hold_little_memory():
+    """Of 6 MB of short texts only a few are spread into arrays at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 400).tolist())) for _ in range(2200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2200), pa.int64()), pa.array(range(2200), pa.int64()), pa.array(texts)], ["doc_id", "text_key", "text"])
+    tracemalloc.start()
+    windows = 0
+    for out in substring_dedup._window_runs(50)([batch]):
+        windows += sum(len(h) // 6 for h in out.column("hashes").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert windows == 2200 * 351 and peak < 100e6
