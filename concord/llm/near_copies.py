@@ -13,11 +13,12 @@ shingles), and verified pairs are links of components. Texts with equal sets are
 the start.
 
 In a bucket of at most ``pairwise`` nodes all pairs are candidates. A larger one is first dealt
-by node into chunks of about that size; all pairs inside a chunk are candidates, and the chunks'
-smallest nodes are dealt again. A bucket of more than ``hot_rows`` nodes is split over tasks,
-each node meeting the bucket's smallest. Where a large bucket's nodes then lie in several
-components, all pairs of nodes in different components are compared too, sets beside them,
-in blocks over many tasks that give the links alone, so no link between components is lost.
+by node into chunks of ``TREE`` times that size; the pairs nearest by SimHash that
+connect a chunk are candidates, less than one a node, and the chunks' smallest nodes are dealt
+again. A bucket of more than ``hot_rows`` nodes is split over tasks, each node meeting the
+bucket's smallest. Where a large bucket's nodes then lie in several components, all pairs of
+nodes in different components are compared too, sets beside them, in blocks over many tasks
+that give a forest of the links, so no two components stay apart that a link joins.
 
 A null text is the empty one. A text of fewer than five words is one shingle; texts without
 words are one node. Rows with a null id take part. Repeated rows repeat in the result; an
@@ -40,6 +41,8 @@ ship(__name__)
 SEED = 43
 APART, LONG = 26, 50
 AGREE = 0.62
+#: A large bucket's chunks are so many times larger than the buckets of which all pairs are compared.
+TREE = 16
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -114,23 +117,42 @@ def plausible(sa: np.ndarray, fa: np.ndarray, sb: np.ndarray, fb: np.ndarray) ->
     return (5 * small >= 4 * np.maximum(sa, sb)) & ((small < LONG) | (np.bitwise_count(fa ^ fb) <= APART))
 
 
-def bucket_pairs(node: np.ndarray, size: np.ndarray, fp: np.ndarray, pairwise: int) -> list[tuple[int, int]]:
-    """Candidate pairs (smaller node first) of one bucket."""
+def nearest_tree(size: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of indices: a spanning forest of the plausible pairs with the fewest differing bits of SimHash."""
+    far = np.where(plausible(size[:, None], fp[:, None], size, fp), np.bitwise_count(fp[:, None] ^ fp).astype(np.int64), 255)
+    least, at, free, out = far[0].copy(), np.zeros(len(fp), np.int64), np.ones(len(fp), bool), []
+    free[0] = False
+    for _ in range(len(fp) - 1):
+        j = int(np.argmin(np.where(free, least, 256)))
+        if least[j] < 255:
+            out.append((min(j, int(at[j])), max(j, int(at[j]))))
+        free[j] = False
+        closer = far[j] < least
+        least[closer], at[closer] = far[j][closer], j
+    return out
+
+
+def bucket_pairs(node: np.ndarray, size: np.ndarray, fp: np.ndarray, pairwise: int, large: bool = False) -> list[tuple[int, int]]:
+    """Candidate pairs (smaller node first) of one bucket: all of a small one, trees of a large one's chunks."""
+    large |= len(node) > pairwise
+    chunk = pairwise * TREE if large else pairwise
     order = np.argsort(node)
     todo, out = [(node[order], size[order], fp[order])], []
     while todo:
         n, s, f = todo.pop()
-        if len(n) > pairwise:
-            parts = 2 << (len(n) // pairwise).bit_length()
-            part = _mix(n.view(np.uint64)) % np.uint64(parts)
+        if len(n) > chunk:
+            part = _mix(n.view(np.uint64)) % np.uint64(-(-len(n) // chunk))
             heads = np.zeros(len(n), bool)
             for p in np.unique(part):
                 at = np.flatnonzero(part == p)
-                heads[at[::pairwise]] = True
-                todo += [(n[x], s[x], f[x]) for x in (at[lo : lo + pairwise] for lo in range(0, len(at), pairwise))]
+                heads[at[::chunk]] = True
+                todo += [(n[x], s[x], f[x]) for x in (at[lo : lo + chunk] for lo in range(0, len(at), chunk))]
             if heads.sum() < len(n):
                 todo.append((n[heads], s[heads], f[heads]))
             continue
+        if large:
+            out += [(int(n[i]), int(n[j])) for i, j in nearest_tree(s, f)]
+            continue
         i, j = np.triu_indices(len(n), 1)
         near = plausible(s[i], f[i], s[j], f[j])
         out += zip(n[i[near]].tolist(), n[j[near]].tolist(), strict=True)
@@ -147,7 +169,7 @@ def _candidates(pairwise: int):
         val, salt, large, node, size, fp = cols
         first = np.flatnonzero(np.concatenate([[True], (val[1:] != val[:-1]) | (salt[1:] != salt[:-1])]))
         end = np.append(first[1:], len(val))
-        found = {p for k in np.flatnonzero(end - first > 1) for p in bucket_pairs(node[first[k] : end[k]], size[first[k] : end[k]], fp[first[k] : end[k]], pairwise)}
+        found = {p for k in np.flatnonzero(end - first > 1) for p in bucket_pairs(node[first[k] : end[k]], size[first[k] : end[k]], fp[first[k] : end[k]], pairwise, bool(large[first[k]]))}
         u, v = zip(*found, strict=True) if found else ((), ())
         none = pa.nulls(len(u), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), none, none, none], ["u", "v", "val", "size", "fp"])
@@ -177,12 +199,19 @@ def _candidates(pairwise: int):
 
 
 def _across(batches):
-    """Reads rows (val, block, kind, node, size, fp, root, minor, signs, found) sorted by the first three; gives the links of kind 1 rows to kind 0 rows of their block in other components.
+    """Reads rows (val, block, kind, node, size, fp, root, minor, signs, found) sorted by the first three; gives links of kind 1 rows to kind 0 rows of their block in other components, each only if it joins two that the block's links before it leave apart.
 
     Two sets agree in a minimum with a probability of their similarity, so a pair that agrees in
     less than AGREE of 120 reaches 0.8 with a probability of 2e-6 at most; of the others the sets decide.
     """
-    key, held = None, []
+    key, held, joined = None, [], {}
+
+    def top(root: int) -> int:
+        while (up := joined.get(root, root)) != root:
+            joined[root] = joined.get(up, up)
+            root = up
+        return root
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -194,7 +223,7 @@ def _across(batches):
         cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(k)], strict=True):
             if key is None or (k[lo, :2] != key).any():
-                key, held = k[lo, :2].copy(), []
+                key, held, joined = k[lo, :2].copy(), [], {}
             if k[lo, 2] == 0:
                 held.append([c[lo:hi] for c in cols])
                 continue
@@ -204,7 +233,12 @@ def _across(batches):
                 (n, s, f, r, _, g, sets), (hn, hs, hf, hr, hm, hg, own) = [c[at : min(hi, at + 64)] for c in cols], held[0]
                 i, j = np.nonzero((r[:, None] != hr) & (~hm | (n[:, None] < hn)) & plausible(s[:, None], f[:, None], hs, hf))
                 near = (g[i] == hg[j]).mean(axis=1) >= AGREE if len(i) else np.zeros(0, bool)
-                hits = [(n[x], hn[y]) for x, y in zip(i[near], j[near], strict=True) if 9 * len(np.intersect1d(sets[x], own[y], assume_unique=True)) >= 4 * (s[x] + hs[y])]
+                hits = []
+                for x, y in zip(i[near], j[near], strict=True):
+                    one, other = top(int(r[x])), top(int(hr[y]))
+                    if one != other and 9 * len(np.intersect1d(sets[x], own[y], assume_unique=True)) >= 4 * (s[x] + hs[y]):
+                        joined[max(one, other)] = min(one, other)
+                        hits.append((n[x], hn[y]))
                 if hits:
                     u, v = np.array(hits, np.int64).T
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])

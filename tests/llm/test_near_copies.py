@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 
 from concord.llm import near_copies
 
@@ -104,6 +105,47 @@ def test_trie_self_join_finds_what_bands_miss(spark):
     assert len(set(got.values())) >= 40
 
 
+def bucket(n, bits):
+    """A batch of one bucket of n nodes whose fingerprints differ in a few bits."""
+    rng = np.random.default_rng(n)
+    fp = np.zeros(n, np.uint64)
+    for _ in range(bits):
+        fp ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    cols = {"val": np.zeros(n, np.int64), "salt": np.zeros(n, np.int64), "large": np.zeros(n, bool), "node": rng.permutation(n).astype(np.int64), "size": np.full(n, 100), "fp": fp.view(np.int64)}
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols.values()], list(cols))
+
+
+def test_large_bucket_gives_two_rows_a_node_and_connects_it():
+    for n in (200, 400, 1500):
+        got = pa.Table.from_batches(near_copies._candidates(32)(iter([bucket(n, 6)]))).to_pylist()
+        pairs = [(r["u"], r["v"]) for r in got if r["val"] is None]
+        assert len(got) - len(pairs) == n and len(pairs) < n and all(u < v for u, v in pairs)
+        root = list(range(n))
+        for _ in range(n):
+            for u, v in pairs:
+                root[u] = root[v] = min(root[u], root[v])
+            if not any(root):
+                break
+        assert not any(root)
+    small = pa.Table.from_batches(near_copies._candidates(32)(iter([bucket(32, 6)])))
+    assert small.num_rows == 32 * 31 // 2
+
+
+def test_blocks_across_components_give_a_forest():
+    """Sixty components of one node each that are all near: 59 links, not 1,770."""
+    n = 60
+    found = [np.arange(200, dtype=np.int64)] * n
+    kinds = np.repeat([0, 1], n)
+    node = np.tile(np.arange(n), 2)
+    cols = {"val": np.zeros(2 * n, np.int64), "block": np.zeros(2 * n, np.int32), "kind": kinds.astype(np.int32), "node": node, "size": np.full(2 * n, 200), "fp": np.zeros(2 * n, np.int64), "root": node, "minor": node > 0}
+    arrays = [pa.array(c) for c in cols.values()] + [pa.array([bytes(120)] * 2 * n, pa.binary()), pa.array(found * 2, pa.list_(pa.int64()))]
+    got = pa.Table.from_batches(near_copies._across(iter([pa.RecordBatch.from_arrays(arrays, [*cols, "signs", "found"])])))
+    root = list(range(n))
+    for u, v in sorted(zip(*(got.column(c).to_pylist() for c in "uv"), strict=True)) * n:
+        root[u] = root[v] = min(root[u], root[v])
+    assert got.num_rows == n - 1 and not any(root)
+
+
 def test_odd_and_empty_rows(spark, odd_docs):
     none = odd_docs.where("false")
     assert near_copies.near_copies(none).count() == 0 and near_copies.one_of_each(none, near_copies.near_copies(none)).count() == 0
