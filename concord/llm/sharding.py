@@ -1,11 +1,11 @@
 """Sharding by balanced label propagation.
 
 Documents with equal texts are linked. As all copies of a text have one size, a group's
-state is how many of its copies stand in each shard: a row a group and shard, never the
-pairs. Copies start in hashed shards. In each round a join gives every group the shard
-where most of its copies stand; its copies elsewhere ask to move there, and each shard
-admits movers, those that save most edges first, up to its capacity quota of bytes. Bytes
-are summed by edges saved and hashed bucket before movers are ranked inside a bucket, so no
+state is how many of its copies stand in each shard: a row a group, never the pairs. Copies
+start in hashed shards. In each round every group takes the shard where most of its copies
+stand; its copies elsewhere ask to move there, and each shard admits movers, those that save
+most edges first, up to its capacity quota of bytes. Bytes are summed by edges saved, and by
+hashed bucket where a shard's room ends, before movers are ordered inside one bucket, so no
 task ranks all movers and the result is that of one global order, whatever the number of
 rows. A group larger than a shard fills one after another. When rounds no longer move
 anything, what exceeds a shard's capacity is given up, the largest loose documents are placed
@@ -29,54 +29,92 @@ from concord.llm.common import hash_range, numbered, ship, written
 ship(__name__)
 
 
-def _loads(cells: DataFrame, shards: int) -> list[int]:
+CUT = "struct<saves: bigint, h: bigint, grp: string, shard: int, go: bigint>"
+
+
+def _loads(state: DataFrame, shards: int) -> list[int]:
     """Bytes in each shard."""
-    found = {r["shard"]: r["b"] for r in cells.groupBy("shard").agg(F.sum(F.col("n") * F.col("size")).alias("b")).collect()}
-    return [found.get(s, 0) for s in range(shards)]
+    each = state.select("size", F.explode("cells").alias("c"))
+    sums = each.agg(*[F.sum(F.when(F.col("c.shard") == s, F.col("c.n") * F.col("size"))) for s in range(shards)]).first()
+    return [x or 0 for x in sums]
 
 
 def _of(values: list[int], shard: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), shard.cast("int") + 1)
 
 
-def _admit(asks: DataFrame, room: list[int], saves: Column, buckets: int) -> DataFrame:
-    """Add ``go``, how many of a row's n copies shard ``to`` has room for when those that save most come first (ties by hash)."""
-    h = F.xxhash64("grp", "shard")
-    dealt = asks.withColumns({"saves": saves.cast("long"), "_h": h, "bytes": F.col("n") * F.col("size")}).withColumn("_b", hash_range("_h", buckets))
-    cells = dealt.groupBy("to", "saves", "_b").agg(F.sum("bytes").alias("s"))
-    above = F.sum("s").over(Window.partitionBy("to").orderBy(F.desc("saves"), "_b").rowsBetween(Window.unboundedPreceding, -1))
-    cells = cells.select(F.col("to").alias("_to"), F.col("saves").alias("_saves"), F.col("_b").alias("_bb"), F.coalesce(above, F.lit(0)).alias("above"))
-    inside = Window.partitionBy("to", "saves", "_b").orderBy("_h", "grp", "shard").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = dealt.withColumn("before", F.sum("bytes").over(inside) - F.col("bytes"))
-    ranked = ranked.join(cells, (F.col("to") == F.col("_to")) & (F.col("saves") == F.col("_saves")) & (F.col("_b") == F.col("_bb")))
-    left = _of([max(0, r) for r in room], F.col("to")) - F.col("above") - F.col("before")
-    go = F.greatest(F.lit(0), F.least(F.col("n"), F.floor(left / F.col("size")))).cast("long")
-    return ranked.withColumn("go", go).drop("saves", "_h", "_b", "bytes", "_to", "_saves", "_bb", "above", "before")
-
-
-def _merge(cells: DataFrame) -> DataFrame:
-    return cells.where("n > 0").groupBy("grp", "size", "shard").agg(F.sum("n").alias("n"))
+def _cuts(asks: DataFrame, room: list[int], buckets: int) -> tuple[list[tuple | None], bool]:
+    """For each shard the first of its movers ``asks`` (grp, size, shard, n, to, saves) for which not all copies have room, with how many have, when those that save most come first (ties by hash); None if all have room. And whether there are movers.
 
-
-def propagate(cells: DataFrame, capacity: int, shards: int, rounds: int, buckets: int = 1) -> DataFrame:
-    """Move copies (grp, size, shard, n) to shards with room where more of their group stand."""
+    Bytes are summed by edges saved, then by hashed bucket where the room ends; only that bucket is ordered.
+    """
+    rows = asks.withColumns({"h": F.xxhash64("grp", "shard"), "bytes": F.col("n") * F.col("size")})
+    left, level = [max(0, r) for r in room], {}
+    sums = sorted(((r["to"], -r["saves"], r["s"]) for r in rows.groupBy("to", "saves").agg(F.sum("bytes").alias("s")).collect()))  # about the root of the rows, as edges saved are copies of a text
+    for to, saves, s in sums:
+        if to not in level:
+            if s > left[to]:
+                level[to] = -saves
+            else:
+                left[to] -= s
+    cuts: list[tuple | None] = [None] * len(room)
+    if not level:
+        return cuts, bool(sums)
+    none = F.lit(None).cast("long")
+    at = lambda found: F.get(F.array(*[F.lit(found[t]).cast("long") if t in found else none for t in range(len(room))]), F.col("to"))
+    dealt = rows.where(F.col("saves") == at(level)).withColumn("_b", hash_range("h", buckets))
+    bucket: dict[int, int] = {}
+    for to, b, s in sorted((r["to"], r["_b"], r["s"]) for r in dealt.groupBy("to", "_b").agg(F.sum("bytes").alias("s")).collect()):
+        if to not in bucket:
+            if s > left[to]:
+                bucket[to] = b
+            else:
+                left[to] -= s
+    order = Window.partitionBy("to").orderBy("h", "grp", "shard").rowsBetween(Window.unboundedPreceding, 0)
+    last = dealt.where(F.col("_b") == at(bucket)).withColumn("before", F.sum("bytes").over(order) - F.col("bytes")).withColumn("left", _of(left, F.col("to")) - F.col("before"))
+    for r in last.where((F.col("left") >= 0) & (F.col("left") < F.col("bytes"))).collect():
+        cuts[r["to"]] = (-r["saves"], r["h"], r["grp"], r["shard"], r["left"] // r["size"])
+    return cuts, True
+
+
+def _go(cuts: list[tuple | None], to: Column, saves: Column, shard: Column, n: Column) -> Column:
+    """How many of n copies in ``shard`` that ask for ``to`` have room there."""
+    one = lambda c: F.struct(*[F.lit(x) for x in c]).cast(CUT) if c else F.lit(None).cast(CUT)
+    cut = F.get(F.array(*[one(c) for c in cuts]), to)
+    key = F.struct((-saves).alias("saves"), F.xxhash64(F.col("grp"), shard).alias("h"), F.col("grp").alias("grp"), shard.alias("shard"))
+    end = F.struct(*[cut[x].alias(x) for x in ("saves", "h", "grp", "shard")])
+    return F.when(cut.isNull() | (key < end), n).when(key == end, cut["go"]).otherwise(F.lit(0)).cast("long")
+
+
+def propagate(rows: DataFrame, capacity: int, shards: int, rounds: int, buckets: int = 1) -> DataFrame:
+    """``settled`` for copies given as rows (grp, size, shard, n)."""
+    cells = F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("cells")
+    state = rows.where("n > 0").groupBy("grp", "size").agg(F.sum("n").alias("copies"), cells)
+    return settled(state, capacity, shards, rounds, buckets).select("grp", "size", F.explode("cells").alias("c")).select("grp", "size", "c.shard", "c.n")
+
+
+def settled(state: DataFrame, capacity: int, shards: int, rounds: int, buckets: int = 1) -> DataFrame:
+    """Move copies of ``state`` (grp, size, copies, cells: array of shard and n) to shards with room where more of their group stand.
+
+    A group's cells stay in its row, so a round shuffles sums and one bucket a shard, never the state.
+    """
     for _ in range(rounds):
-        room = [capacity - x for x in _loads(cells, shards)]
-        fits = _of(room, F.col("shard")) >= F.col("size")
-        rank = F.when(fits, F.struct("n", F.xxhash64("grp", "shard"), "shard"))
-        hub = cells.groupBy("grp").agg(F.max(rank).alias("hub")).where("hub is not null").select("grp", F.col("hub.shard").alias("to"), F.col("hub.n").alias("most"))
-        all_ = cells.join(hub, "grp", "left")
-        asks = (F.col("to") != F.col("shard")) & (F.col("n") <= F.col("most"))
-        movers = _admit(all_.where(asks), room, F.col("n") + F.col("most"), buckets)
-        stays = all_.where(~F.coalesce(asks, F.lit(False))).select("grp", "size", "shard", "n")
-        left = movers.select("grp", "size", "shard", (F.col("n") - F.col("go")).alias("n"))
-        came = movers.select("grp", "size", F.col("to").alias("shard"), F.col("go").alias("n"))
-        after = written(_merge(stays.union(left).union(came)), "cells")
-        same = after.join(cells.select("grp", "shard", "n"), ["grp", "shard", "n"], "left_anti").isEmpty()
-        cells = after
-        if same:
+        room = [capacity - x for x in _loads(state, shards)]
+        fits = F.filter("cells", lambda c: _of(room, c["shard"]) >= F.col("size"))
+        ranked = F.transform(fits, lambda c: F.struct(c["n"].alias("n"), F.xxhash64(F.col("grp"), c["shard"]).alias("h"), c["shard"].alias("shard")))
+        hubs = state.withColumn("hub", F.array_max(ranked))
+        asks = lambda c: F.col("hub").isNotNull() & (c["shard"] != F.col("hub.shard")) & (c["n"] <= F.col("hub.n"))
+        asked = hubs.select("grp", "size", F.col("hub.shard").alias("to"), F.col("hub.n").alias("most"), F.explode(F.filter("cells", asks)).alias("c"))
+        cuts, any_ = _cuts(asked.select("grp", "size", "c.shard", "c.n", "to", (F.col("c.n") + F.col("most")).alias("saves")), room, buckets)
+        if not any_:
             break
-    return cells
+        go = lambda c: F.when(asks(c), _go(cuts, F.col("hub.shard"), c["n"] + F.col("hub.n"), c["shard"], c["n"])).otherwise(F.lit(0)).cast("long")  # noqa: E731, B023
+        told = hubs.withColumn("told", F.transform("cells", lambda c: F.struct(c["shard"].alias("shard"), c["n"].alias("n"), go(c).alias("go"))))
+        came = F.aggregate("told", F.lit(0).cast("long"), lambda acc, c: acc + c["go"])
+        after = F.transform("told", lambda c: F.struct(c["shard"].alias("shard"), (c["n"] - c["go"] + F.when(c["shard"] == F.col("hub.shard"), F.col("came")).otherwise(F.lit(0))).alias("n")))
+        told = told.withColumn("came", came)
+        state = written(told.select("grp", "size", "copies", F.filter(after, lambda c: c["n"] > 0).alias("cells")), "cells")
+    return state
 
 
 def _place_large(loose: DataFrame, loads: list[int], large: int) -> list[tuple]:
@@ -129,21 +167,25 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 20, fine: i
     total, count = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     capacity, buckets = -(-total // shards), max(1, count // bucket_rows)
     groups = written(base.groupBy("grp", "size").agg(F.count("*").alias("copies")), "groups")
-    k = F.explode(F.sequence(F.lit(0), F.least(F.col("copies"), F.lit(shards)).cast("int") - 1)).alias("k")
-    start = groups.where("copies > 1").select("grp", "size", "copies", k)
-    shard = F.pmod(F.xxhash64("grp", F.lit(seed)) + F.col("k"), F.lit(shards)).cast("int").alias("shard")
-    n = (F.floor((F.col("copies") - 1 - F.col("k")) / shards) + 1).cast("long").alias("n")
-    cells = propagate(written(start.select("grp", "size", shard, n), "cells"), capacity, shards, rounds, buckets)
-    if max(_loads(cells, shards)) > capacity:
-        kept = _admit(cells.withColumn("to", F.col("shard")), [capacity] * shards, F.col("n"), buckets)
-        cells = written(kept.select("grp", "size", "shard", F.col("go").alias("n")).where("n > 0"), "cells")
-    held = cells.groupBy("grp").agg(F.sum("n").alias("held"))
-    loose = groups.join(held, "grp", "left").select("grp", "size", (F.col("copies") - F.coalesce("held", F.lit(0))).alias("n"))
-    loose = written(loose.where("n > 0"), "loose")
-    loads, large = _loads(cells, shards), capacity // fine
+    k = F.sequence(F.lit(0), F.least(F.col("copies"), F.lit(shards)).cast("int") - 1)
+    shard = lambda k: F.pmod(F.xxhash64(F.col("grp"), F.lit(seed)) + k, F.lit(shards)).cast("int").alias("shard")
+    n = lambda k: (F.floor((F.col("copies") - 1 - k) / shards) + 1).cast("long").alias("n")
+    start = groups.where("copies > 1").select("grp", "size", "copies", F.transform(k, lambda k: F.struct(shard(k), n(k))).alias("cells"))
+    state = settled(written(start, "cells"), capacity, shards, rounds, buckets)
+    loads = _loads(state, shards)
+    if max(loads) > capacity:
+        each = state.select("grp", "size", F.explode("cells").alias("c")).select("grp", "size", "c.shard", "c.n", F.col("c.shard").alias("to"), F.col("c.n").alias("saves"))
+        cuts, _ = _cuts(each, [capacity] * shards, buckets)
+        kept = F.transform("cells", lambda c: F.struct(c["shard"].alias("shard"), _go(cuts, c["shard"], c["n"], c["shard"], c["n"]).alias("n")))
+        state = written(state.select("grp", "size", "copies", F.filter(kept, lambda c: c["n"] > 0).alias("cells")), "cells")
+        loads = _loads(state, shards)
+    held = F.aggregate("cells", F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
+    loose = groups.where("copies = 1").select("grp", "size", F.col("copies").alias("n")).union(state.select("grp", "size", (F.col("copies") - held).alias("n")).where("n > 0"))
+    loose = written(loose, "loose")
+    large = capacity // fine
     by_hand = spark.createDataFrame(_place_large(loose, loads, large), "grp string, size long, shard int, n long")
     filled = _fill(loose.where(F.col("size") <= large), loads, capacity, seed)
-    cells = _merge(cells.select("grp", "size", "shard", "n").union(by_hand).union(filled))
+    cells = state.select("grp", "size", F.explode("cells").alias("c")).select("grp", "size", "c.shard", "c.n").union(by_hand).union(filled)
     # a group's k-th document goes to the cell whose range of ranks holds k; where all stand in one cell no rank is needed
     ranges = cells.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("cells"))
     upto = F.aggregate("cells", F.array().cast("array<bigint>"), lambda acc, c: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + c["n"])))

@@ -117,6 +117,27 @@ def test_sharding_does_not_depend_on_the_number_of_buckets(spark):
     assert one == many
 
 
+def test_sharding_rounds_shuffle_sums_alone(spark, monkeypatch):
+    """No round shuffles the state, and copies are neither lost nor made where shards are full."""
+    plans, write = [], sharding.written
+
+    def noted(df, name):
+        if name == "cells":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(sharding, "written", noted)
+    start = [("hot", 50, s, 90) for s in range(10)] + [(f"g{i}", 40 + i, s, 1 + s % 2) for i in range(60) for s in range(i % 7, 10, 3)]
+    rows = spark.createDataFrame(start, "grp string, size long, shard int, n long").repartition(4).persist()
+    capacity = -(-sum(z * n for _, z, _, n in start) // 10)
+    got = sharding.propagate(rows, capacity, 10, 20, 5).collect()
+    plans = plans[1:]  # the first one groups the rows that were given
+    assert plans and not any("Exchange" in p for p in plans)
+    for g in {x[0] for x in start}:
+        assert sum(r["n"] for r in got if r["grp"] == g) == sum(x[3] for x in start if x[0] == g)
+    assert all(r["n"] > 0 for r in got) and len(got) == len({(r["grp"], r["shard"]) for r in got}) < len(start)
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     df = queries.op2_language_id(spark, sf_dir.replace("0.001", "0.01")).join(spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/documents.parquet").select("doc_id", "lang"), "doc_id")
     rows = df.collect()
