@@ -347,6 +347,59 @@ def test_lm_mixture_hears_every_word_the_tasks_learn(spark, monkeypatch):
     assert found[0][0] == 800 and found[0][1][0] == pytest.approx(400 * 5 * np.log(399.5 / whole), rel=1e-4)
 
 
+def test_lm_tables_never_segment_frequent_words():
+    """Their subwords come with the table and outlast its being emptied; the others are the same whether kept or segmented again."""
+    import sentencepiece
+
+    with open(MODEL, "rb") as f:
+        model = f.read()
+    sp, asked = sentencepiece.SentencePieceProcessor(model_proto=model), []
+    frequent = {b"the": 9, b"reading": 5, "größe".encode(): 2}
+
+    class Spy:
+        def encode(self, words, **kwargs):
+            asked.extend(words)
+            return sp.encode(words, **kwargs)
+
+    table = attention_lm.WordTable(model, frequent, 3, attention_lm.segmented(sp, list(frequent)))
+    table.sp = Spy()
+    for k in range(4):
+        words = [b"the", b"reading", b"the", "größe".encode(), *(f"word{i}x".encode() for i in range(k, k + 3)), b"odd"]
+        at = table.rows(words)
+        assert table.count[at].tolist() == [frequent.get(w, 0) for w in words]
+        assert [table.pool[table.first[i] : table.first[i] + table.size[i]].tolist() for i in at] == [sp.encode(w.decode()) for w in words]
+    assert not {w.decode() for w in frequent} & set(asked)
+    assert asked.count("odd") == 4  # again each time the table was emptied
+
+
+def test_lm_steps_outlast_large_scores():
+    """Rows are lowered by their largest value where scores are large: no overflow, and the loss that float64 gives."""
+    rng = np.random.default_rng(0)
+    a = attention_lm.Attention(9, 5, attention_lm.Settings(dim=3, block=3), rng)
+    a.emb *= 40
+    ids, after, _ = a.windows([rng.integers(0, 9, 8).astype(np.int32)], 1)
+    target = np.where(after < 0, -1, after % 5)
+    loss, g = a.gradients(ids, target)
+    for n in a.NAMES:
+        setattr(a, n, getattr(a, n).astype(np.float64))
+    assert loss == pytest.approx(a.gradients(ids, target)[0], rel=1e-4)
+    assert all(np.isfinite(x).all() for x in (*[v for n, v in g.items() if n != "emb"], g["emb"][1]))
+
+
+def test_lm_mixture_joins_counts_once(spark, monkeypatch):
+    """The counts of words that aren't frequent meet those of all training parts in one join."""
+    df = spark.createDataFrame([(k, f"some w{k} words w{k} of text") for k in range(400)], "doc_id long, text string").repartition(3, "doc_id")
+    joins, real = [], type(df).join
+
+    def spy(self, other, *args, **kwargs):
+        joins.append(self.columns)
+        return real(self, other, *args, **kwargs)
+
+    monkeypatch.setattr(type(df), "join", spy)
+    attention_lm.score(df, F.lit(True), MODEL, attention_lm.Settings(warm_windows=0, least_words=20, epochs=1, broadcast_words=4))
+    assert sum("sub" in columns for columns in joins) == 1
+
+
 def test_lm_runs_from_another_folder(tmp_path):
     """Workers that don't find the repository get all code by value."""
     import os
